@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("html_extract", "urlfilter", "sharding", "packing", "decontaminate")
+MODULES = ("html_extract", "language", "urlfilter", "sharding", "fingerprint", "ctw", "packing", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
