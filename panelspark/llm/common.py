@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -76,3 +79,11 @@ def slices(sizes: list[int], most: int):
         total += size
     if lo < len(sizes):
         yield lo, len(sizes)
+
+
+def worker_state(key: str, make: Callable):
+    """What ``make`` returned the first time in this worker process: tasks that a worker runs one after another share it."""
+    own = sys.modules.setdefault("_panelspark_worker_state", types.ModuleType("_panelspark_worker_state")).__dict__
+    if key not in own:
+        own[key] = make()
+    return own[key]

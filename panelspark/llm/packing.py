@@ -18,23 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, row_keys
+from .common import load, row_keys, worker_state
 
 WINDOW, END_ID, GROUP_DOCS = 2048, 1, 8192
-#: Chunks kept by a worker (some 200 bytes each), and the longest chunk that is kept.
-CACHED, CACHED_CHARS = 400_000, 64
+#: Pre-tokens kept by a worker (some 200 bytes each), and the longest that is kept.
+CACHED, CACHED_CHARS = 500_000, 48
 
-_BESIDE = tuple(x for w in " \n\t\r\x0b\x0c" for x in (" " + w, w + " "))
-_RARE = re.compile("[\x85\xa0  -     　]")
-_INNER = re.compile(r"(?<=\S) (?=\S)")
+# The vocabulary's pre-tokenizer pattern for Latin-1 texts, classes written out.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\xa0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_UNSURE = re.compile("[\x1c-\x1f\x85]").search
+_INNER = re.compile(r"(?<=\S) (?=\S)").split
 
 
 class Encoder:
-    """Byte-level BPE with a cache of chunks.
+    """Byte-level BPE with a cache of pre-tokens, which are encoded independently of each other.
 
-    The vocabulary's pre-tokenizer always starts a new token at a space between
-    two characters that aren't white space, so chunks cut there are encoded on
-    their own with the same result.
+    A text beyond Latin-1, where classes of characters depend on a Unicode version, is
+    only cut at spaces between two characters that aren't white space; the
+    tokenizer always cuts there too.
     """
 
     def __init__(self, path: str):
@@ -45,25 +47,29 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        odd = text[0] == " " or text[-1] == " " or any(x in text for x in _BESIDE) or not text.isascii() and _RARE.search(text)
-        first, *rest = _INNER.split(text) if odd else text.split(" ")
+        try:
+            text.encode("latin-1")
+            sure = not _UNSURE(text)
+        except UnicodeEncodeError:
+            sure = False
+        if sure:
+            parts = _PIECES(text)
+        else:
+            first, *rest = _INNER(text)
+            parts = [first, *(" " + x for x in rest)]
         known = self.known
-        found = [known.get(x) for x in rest]
+        found = [known.get(x) for x in parts]
         if None in found:
-            new = list({x for x, y in zip(rest, found, strict=True) if y is None})
-            made = dict(zip(new, self._encode([" " + x for x in new]), strict=True))
-            found = [made[x] if y is None else y for x, y in zip(rest, found, strict=True)]
+            new = list({x for x, y in zip(parts, found, strict=True) if y is None})
+            ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            made = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, ids, strict=True)}
+            found = [made[x] if y is None else y for x, y in zip(parts, found, strict=True)]
             if len(known) + len(made) > CACHED:
                 known.clear()
             known.update((x, y) for x, y in made.items() if len(x) <= CACHED_CHARS)
-        return self._encode([first])[0] + b"".join(found)
+        return b"".join(found)
 
 
 def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
@@ -71,7 +77,7 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, seen = Encoder(path), 0
+        encoder, seen = worker_state(f"encoder {path}", lambda: Encoder(path)), 0
         for batch in batches:
             docs = batch.column(0).to_pylist()
             keys = row_keys(seen, len(docs)).to_pylist()
