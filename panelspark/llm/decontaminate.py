@@ -86,15 +86,16 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _search(shared, window: int, only_hits: bool):
-    """Batches of (doc_id, text) to (key, doc_id, n_words, spans, items); with ``only_hits``, of texts with occurrences alone."""
+    """Batches of (..., doc_id, text) to (..., key, doc_id, n_words, spans, items); with ``only_hits``, of texts with occurrences alone."""
 
     def run(batches):
         machines, seen = automata(shared.value, window), 0
         for batch in batches:
             keys = row_keys(seen, batch.num_rows).to_pylist()
             seen += batch.num_rows
-            out = []
-            for key, doc, text in zip(keys, batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            out, at = [], []
+            *carried, ids, texts = batch.columns
+            for i, (key, doc, text) in enumerate(zip(keys, ids.to_pylist(), as_bytes(texts), strict=True)):
                 w = words(text)
                 hits, items = [], set()
                 for machine in machines:
@@ -102,10 +103,12 @@ def _search(shared, window: int, only_hits: bool):
                         hits.append((start, start + machine.m))
                         items |= found
                 if hits or not only_hits:
+                    at.append(i)
                     out.append((key, doc, len(w), [{"start": a, "end": b} for a, b in spans(hits)], sorted(items)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "n_words", "spans", "items"])
+            rest = [c.take(pa.array(at, pa.int64())) for c in carried]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*batch.schema.names[:-2], "key", "doc_id", "n_words", "spans", "items"])
 
     return run
 
@@ -115,20 +118,22 @@ def _merge(column):
     return column.map(lambda x: [{"start": a, "end": b} for a, b in spans([(s["start"], s["end"]) for s in x])])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """Return (doc_id, n_words, spans, items): the word ranges inside occurrences and the items they stand for, one row per row of ``docs``.
 
-    Texts without words (null, empty) have no hits; items without words match
+    With ``whole``, a column ``row`` holds all columns of ``docs``.  Texts without words (null, empty) have no hits; items without words match
     nothing; a null item id is named ``null``.  An empty benchmark leaves every
     document clean, equal rows get equal results.  A benchmark over
     ``block_bytes`` is dealt by hash into blocks that are searched for in turn, so
     no broadcast grows with it.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    kept = f"row {docs.schema.simpleString()}, " if whole else ""
+    docs = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
-    schema = "key long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    schema = kept + "key long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     parts = []
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
@@ -139,8 +144,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    merged = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", _merge("spans").alias("spans"), "items")
+    merged = every.groupBy("key").agg(*(F.first(c).alias(c) for c in ["row"] * whole), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select(*["row"] * whole, "doc_id", "n_words", _merge("spans").alias("spans"), "items")
 
 
 def hits(found: DataFrame) -> DataFrame:

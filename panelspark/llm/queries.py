@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("html_extract", "language", "urlfilter", "jaccard", "sharding", "fingerprint", "ctw", "packing", "decontaminate")
+MODULES = ("html_extract", "language", "urlfilter", "jaccard", "sharding", "fingerprint", "quality", "ctw", "packing", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
