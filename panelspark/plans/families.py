@@ -37,7 +37,7 @@ def _checked(table: DataFrame, metrics: list[str], keys: list[str], func: str, q
 
 def harmonic(m: Column) -> Column:
     """1 + 1/2 + ... + 1/m: exact below 1000, beyond by its expansion (error under 1e-15)."""
-    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k)
+    exact = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(m, F.lit(1000)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k)
     x = m.cast("double")
     return F.when(m <= 1000, exact).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x))
 
