@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, load, row_keys, scratch, slices
 from .language import remainder
-from .words import joined
+from .words import Lookup, joined
 
-DEPTH, CONTEXTS, HOT, CLASSES = 7, 65_536, 100_000, 6
-#: Distinct words that a worker counts, caches or scores at a time, and bytes of text handled at a time.
-COUNTED, CACHED, CHUNK_BYTES = 400_000, 300_000, 4_000_000
+DEPTH, CONTEXTS, HOT, CLASSES = 7, 65_536, 500_000, 6
+#: Distinct words that a worker counts at a time, and bytes of text handled at a time.
+COUNTED, CHUNK_BYTES = 400_000, 4_000_000
 END = b"\n"
 
 
@@ -48,12 +48,12 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _count_words(batches):
-    """(class, text) to (class, word, n), merged per worker up to COUNTED words."""
+    """(class, text) to (class, word, n), merged per worker up to COUNTED words; class -1 gives words that don't count."""
     counts: dict[int, Counter[bytes]] = {}
 
     def flush():
         for k, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["class", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(list(own), pa.binary()), pa.array(list(own.values()) if k >= 0 else [0] * len(own), pa.int64())], ["class", "word", "n"])
         counts.clear()
 
     for batch in batches:
@@ -158,36 +158,43 @@ class Tree:
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.levels = levels
+        self.lookups: list[tuple[Lookup, Lookup]] = []
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each token."""
-        data, offset, starts = _coded(words)
+        return self.coded_scores(words, *_coded(words))
+
+    def coded_scores(self, words: list[bytes], data: np.ndarray, offset: np.ndarray, starts: np.ndarray, full: np.ndarray | None = None) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        self.lookups = self.lookups or [(Lookup(contexts), Lookup(keys)) for contexts, _, keys, _ in self.levels]
         each = np.zeros(len(data))
         depth = len(self.levels) - 1
-        full = _contexts(data, max(0, depth))
-        todo = np.flatnonzero(offset > 0)
-        for d in range(depth, -1, -1):
-            contexts, escape, keys, probability = self.levels[d]
-            at = todo if d == 0 else todo[offset[todo] >= d]
-            if not len(contexts) or not len(at):
-                continue
-            context = full[at] & np.uint64((1 << 8 * d) - 1)
-            key = context << np.uint64(8) | data[at]
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[place] == key
-            each[at[hit]] += probability[place[hit]]
-            miss, context = at[~hit], context[~hit]
-            place = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            inside = contexts[place] == context
-            each[miss[inside]] += escape[place[inside]]
-            left = np.zeros(len(data), bool)
-            left[todo] = True
-            left[at[hit]] = False
-            todo = np.flatnonzero(left)
-        if not self.levels or not len(self.levels[0][0]):
-            each[todo] = -8 * math.log10(2)
+        full = _contexts(data, max(0, depth)) if full is None else full
+        known = np.zeros(len(data), np.int64)  # the deepest context of each position
+        at = np.flatnonzero(offset > 0)
+        todo: list[tuple[np.ndarray, np.ndarray]] = [(at, np.zeros(len(at), np.int64))] if depth >= 0 and len(self.levels[0][0]) else []
+        for d in range(1, depth + 1 if todo else 0):
+            at = at[offset[at] >= d]
+            place = self.lookups[d][0].find(full[at] & np.uint64((1 << 8 * d) - 1))
+            at, place = at[place >= 0], place[place >= 0]
+            known[at] = d
+            todo.append((at, place))
+        if not todo:
+            each[at] = -8 * math.log10(2)
+        left = np.zeros(len(data), bool)
+        for d in range(len(todo) - 1, -1, -1):
+            at, place = todo[d]
+            own = (known[at] == d) | left[at]
+            at, place = at[own], place[own]
+            key = (full[at] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | data[at]
+            found = self.lookups[d][1].find(key)
+            hit = found >= 0
+            each[at[hit]] += self.levels[d][3][found[hit]]
+            each[at[~hit]] += self.levels[d][1][place[~hit]]
+            left[at] = ~hit
         each[_past_end(words, starts)] = 0
-        return np.add.reduceat(each, starts[:-1]) if words else np.zeros(0)
+        return np.add.reduceat(each, starts[:-1])
 
 
 def _nodes(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -298,64 +305,75 @@ def _classes(docs: DataFrame, column: str | None, most: int):
 
 # --- scoring -----------------------------------------------------------------
 
-_ROW = [("word", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("times", pa.int64())]
-_ROW_SCHEMA = "word binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, times long"
 
+def _score_words(shared):
+    """(word, n) to (word, n, scores): the log10 probability of a token in each class's tree."""
 
-def _score(shared):
-    """(doc_id, held_out, text) to one row per text with what the broadcasts give, and one per text and word that the join has to count."""
+    def run(batches):
+        trees = [Tree(x) for x in shared.value]
+        deep = max(len(t.levels) for t in trees) - 1
+        for batch in batches:
+            words, out = batch.column(0).to_pylist(), []
+            for lo, hi in slices([len(w) + 2 for w in words], CHUNK_BYTES // 4):
+                own = words[lo:hi]
+                data, offset, starts = _coded(own)
+                full = _contexts(data, max(0, deep))
+                out.append(np.stack([t.coded_scores(own, data, offset, starts, full) for t in trees], 1).astype(np.float32))
+            flat = np.concatenate(out).ravel() if out else np.zeros(0, np.float32)
+            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * len(trees)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], ["word", "n", "scores"])
+
+    return run
+
+
+def _score(shared, classes: int):
+    """(doc_id, held_out, text) to one row per text with what its common words give, and one per text and other word, for the join."""
+    names = ["word", "row", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", *(f"s{k}" for k in range(classes))]
 
     def run(batches):
-        levels, shares, hot, hot_base = shared.value
-        trees, seen = [Tree(x) for x in levels], 0
-        scores = lambda words: np.stack([t.scores(words) for t in trees], 1).astype(np.float32)
-        hot_score = scores(hot)
-        number, names = dict(zip(hot, range(len(hot)), strict=True)), list(hot)
-        score = hot_score
+        hot, hot_base, hot_scores = shared.value
+        number, seen = dict(zip(hot, range(len(hot)), strict=True)).get, 0
+        hot_known = hot_base[1]
+        hot_base = hot_base[0]
         for batch in batches:
-            keys = row_keys(seen, batch.num_rows).to_pylist()
+            keys = row_keys(seen, batch.num_rows).to_numpy()
             seen += batch.num_rows
-            docs, held, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
+            texts = as_bytes(batch.column(2))
             for lo, hi in slices([len(t) for t in texts], CHUNK_BYTES):
+                n = hi - lo
                 own = [tokens(t) for t in texts[lo:hi]]
-                sizes = np.array([len(x) for x in own], np.int64)
-                flat = [w for x in own for w in x]
-                found = [number.get(w) for w in flat]
-                if None in found:
-                    if len(number) > CACHED + len(hot):
-                        number, names, score = dict(zip(hot, range(len(hot)), strict=True)), list(hot), hot_score
-                        found = [number.get(w) for w in flat]
-                    new = list({w for w, i in zip(flat, found, strict=True) if i is None})
-                    number.update(zip(new, range(len(names), len(names) + len(new)), strict=True))
-                    names += new
-                    score = np.concatenate([score, scores(new)])
-                    found = [number[w] for w in flat]
-                at = np.array(found, np.int64)
-                of = np.repeat(np.arange(hi - lo), sizes)
-                known = at < len(hot)
-                by_class = np.add.reduceat(score[at], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64) + shares
-                best = by_class.max(1)
-                sums = best + np.log10((10 ** (by_class - best[:, None])).sum(1))
-                base = np.bincount(of[known], hot_base[at[known]], hi - lo)
-                hits = np.bincount(of[known], minlength=hi - lo)
-                pairs, times = np.unique(of[~known] * np.int64(len(names)) + at[~known], return_counts=True)
-                rows, words = pairs // len(names), pairs % len(names)
-                n, m = hi - lo, len(pairs)
-                none = lambda kind, m=m: pa.nulls(m, kind)
+                sizes = np.fromiter(map(len, own), np.int64, n)
+                at = np.fromiter((number(w, -1) for x in own for w in x), np.int64, int(sizes.sum()))
+                of = np.repeat(np.arange(n), sizes)
+                known = at >= 0
+                place, of_known = at[known], of[known]
+                base = np.bincount(of_known, hot_base[place], n)
+                hits = np.bincount(of_known, hot_known[place], n)
+                sums = [np.bincount(of_known, hot_scores[place, k], n) for k in range(classes)]
+                rare: list[tuple[int, bytes, int]] = []
+                cuts = np.searchsorted(np.flatnonzero(~known), np.concatenate([[0], np.cumsum(sizes)])).tolist()
+                places = (np.flatnonzero(~known) - np.repeat(np.cumsum(sizes) - sizes, np.diff(cuts))).tolist()
+                for i, x in enumerate(own):
+                    if cuts[i] < cuts[i + 1]:
+                        rare += [(i, w, k) for w, k in Counter([x[j] for j in places[cuts[i] : cuts[i + 1]]]).items()]
+                rows, words, times = zip(*rare, strict=True) if rare else ((), (), ())
+                m = len(rows)
+                pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])  # noqa: E731, B023
                 every = [
-                    [pa.array([b" %d" % keys[i] for i in range(lo, hi)], pa.binary()), pa.array([names[i] for i in words.tolist()], pa.binary())],
-                    [pa.array(keys[lo:hi], pa.int64()), pa.array(np.array(keys[lo:hi], np.int64)[rows] if m else [], pa.int64())],
-                    [pa.array(docs[lo:hi], pa.int64()), none(pa.int64())],
-                    [pa.array(held[lo:hi], pa.bool_()), none(pa.bool_())],
-                    [pa.array(sizes), none(pa.int64())],
-                    [pa.array(hits.astype(np.int64)), none(pa.int64())],
-                    [pa.array(base), none(pa.float64())],
-                    [pa.array(sums), none(pa.float64())],
-                    [pa.array(np.zeros(n, np.int64)), pa.array(times.astype(np.int64))],
+                    pa.array([b" %d" % k for k in keys[lo:hi].tolist()] + list(words), pa.binary()),
+                    pa.array(np.concatenate([keys[lo:hi], keys[lo:hi][list(rows)] if m else np.zeros(0, np.int64)])),
+                    pa.array(np.concatenate([np.zeros(n, np.int64), np.array(times, np.int64)])),
+                    pa.concat_arrays([batch.column(0).slice(lo, n), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([batch.column(1).slice(lo, n), pa.nulls(m, pa.bool_())]),
+                    pad(sizes, pa.int64()),
+                    pad(hits.astype(np.int64), pa.int64()),
+                    pad(base, pa.float64()),
+                    *(pad(x, pa.float64()) for x in sums),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in every], [x for x, _ in _ROW])
+                yield pa.RecordBatch.from_arrays(every, names)
 
-    return run
+    schema = "word binary, row long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double" + "".join(f", s{k} double" for k in range(classes))
+    return run, schema
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", folds: int = 10, depth: int = DEPTH, contexts: int = CONTEXTS, hot: int = HOT, classes: int = CLASSES) -> DataFrame:
@@ -365,35 +383,40 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     null id counts as an empty text).  A null text has the end token alone; equal
     texts get equal scores; without training rows the base and the trees are uniform.
     Without ``label_col`` there is one tree; a null label counts among the rest.
+    Each distinct word is scored once, in the table that the join reads.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == 0).alias("held_out"), label.alias("label"), F.col(text_col).cast("string").alias("text"))
     number, shares = _classes(docs, label_col, classes)
-    counted = docs.where("not held_out").select(number.cast("int").alias("class"), "text").mapInArrow(_count_words, "class int, word binary, n long")
+    counted = docs.select(F.when(F.col("held_out"), -1).otherwise(number).cast("int").alias("class"), "text").mapInArrow(_count_words, "class int, word binary, n long")
     by_class = scratch(counted.groupBy("class", "word").agg(F.sum("n").alias("n")), "ctw-class-words")
-    vocabulary = scratch(by_class.groupBy("word").agg(F.sum("n").alias("n")), "ctw-words")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = vocabulary.where(F.col("n") >= max(1.0, total / hot)).toArrow()
-    trees = _trees(by_class, len(shares), depth, contexts)
+    trees = _trees(by_class.where("class >= 0"), len(shares), depth, contexts)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    scorer = _score_words(broadcast([t.levels for t in trees]))
+    vocabulary = scratch(by_class.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(scorer, "word binary, n long, scores array<float>"), "ctw-words")
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    least = max(1.0, total / hot)
+    common = vocabulary.where(F.col("n") >= least).toArrow()
     below = math.log10(total + 0.1 * (distinct + 1))
-    hot_words, hot_n = common.column("word").to_pylist(), common.column("n").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(([t.levels for t in trees], shares, hot_words, np.log10(hot_n + 0.1) - below))
-    rows = docs.drop("label").mapInArrow(_score(shared), _ROW_SCHEMA)
-    rare = vocabulary.where(F.col("n") < max(1.0, total / hot)).withColumnRenamed("n", "count")
-    each = F.col("times") * (F.log10(F.coalesce("count", F.lit(0)) + 0.1) - below)
-    return (
-        rows.join(rare, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum(F.coalesce("n_known", F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-            F.sum(F.when(F.col("n_tokens").isNull(), each).otherwise(F.col("base_score"))).alias("base_score"),
-            F.max("score").alias("score"),
-        )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    hot_scores = np.array(common.column("scores").to_pylist(), np.float32).reshape(-1, len(shares))
+    hot_n = common.column("n").to_numpy()
+    run, schema = _score(broadcast((common.column("word").to_pylist(), (np.log10(hot_n + 0.1) - below, (hot_n > 0).astype(np.float64)), hot_scores)), len(shares))
+    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    rare = vocabulary.where(F.col("n") < least).withColumnRenamed("n", "count")
+    base = F.col("times") * (F.log10(F.col("count") + 0.1) - below)
+    ranks = range(len(shares))
+    sums = rows.join(rare, "word", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("n_known", F.when(F.col("count") > 0, F.col("times")).otherwise(0))).alias("n_known"),
+        F.sum(F.coalesce("base", base)).alias("base_score"),
+        *(F.sum(F.coalesce(f"s{k}", F.col("times") * F.get("scores", F.lit(k)))).alias(f"s{k}") for k in ranks),
     )
+    each = [F.col(f"s{k}") + shares[k] for k in ranks]
+    best = F.greatest(*each) if len(each) > 1 else each[0]
+    mixture = best + F.log10(sum(F.pow(F.lit(10.0), x - best) for x in each))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", mixture.alias("score"))
 
 
 def op8_ctw(spark, sf_dir):

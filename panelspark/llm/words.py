@@ -38,3 +38,40 @@ def gram_buckets(data: np.ndarray, orders: tuple[int, ...], bits: int) -> list[n
             done = n
             out.append((mixed(code + np.uint64(n) * MIX) >> np.uint64(64 - bits)).astype(np.int64))
     return out
+
+
+class Lookup:
+    """Where distinct unsigned 64-bit keys stand in their array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        todo = np.arange(len(keys), dtype=np.int32)
+        place = self._home(keys)
+        while len(todo):
+            free = self.table[place] < 0
+            self.table[place[free]] = todo[free]  # of several, one stays
+            left = self.table[place] != todo
+            todo, place = todo[left], (place[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mixed(keys) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key; -1 where it isn't among the keys."""
+        place = self._home(wanted)
+        out = self.table[place].astype(np.int64)
+        if not len(self.keys):
+            return out
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != wanted))
+        place = place[todo]
+        while len(todo):
+            place = (place + 1) & self.mask
+            found = self.table[place].astype(np.int64)
+            out[todo] = found
+            left = (found >= 0) & (self.keys[found] != wanted[todo])
+            todo, place = todo[left], place[left]
+        return out
