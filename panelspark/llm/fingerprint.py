@@ -67,6 +67,7 @@ def boundaries(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     tag[same] = -1
     start = np.zeros(n, bool)
     start[1:-1] = (tag[1:-1] > tag[:-2]) & (tag[1:-1] >= tag[2:])
+    start[first[1:] - 1] = False  # a sequence's last symbol has no right neighbour
     runs = np.flatnonzero(same)
     if len(runs):
         opens = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]])) - 1
