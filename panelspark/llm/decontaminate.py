@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, load, row_keys
+from .common import as_bytes, load, scratch
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -86,16 +86,14 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _search(shared, window: int, only_hits: bool):
-    """Batches of (..., doc_id, text) to (..., key, doc_id, n_words, spans, items); with ``only_hits``, of texts with occurrences alone."""
+    """Batches of (..., key, doc_id, text) to (..., key, doc_id, n_words, spans, items); with ``only_hits``, of texts with occurrences alone."""
 
     def run(batches):
-        machines, seen = automata(shared.value, window), 0
+        machines = automata(shared.value, window)
         for batch in batches:
-            keys = row_keys(seen, batch.num_rows).to_pylist()
-            seen += batch.num_rows
             out, at = [], []
-            *carried, ids, texts = batch.columns
-            for i, (key, doc, text) in enumerate(zip(keys, ids.to_pylist(), as_bytes(texts), strict=True)):
+            *carried, keys, ids, texts = batch.columns
+            for i, (key, doc, text) in enumerate(zip(keys.to_pylist(), ids.to_pylist(), as_bytes(texts), strict=True)):
                 w = words(text)
                 hits, items = [], set()
                 for machine in machines:
@@ -108,12 +106,11 @@ def _search(shared, window: int, only_hits: bool):
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), _SPANS, pa.list_(pa.string())]
             rest = [c.take(pa.array(at, pa.int64())) for c in carried]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*batch.schema.names[:-2], "key", "doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [*batch.schema.names[:-3], "key", "doc_id", "n_words", "spans", "items"])
 
     return run
 
 
-@F.pandas_udf("array<struct<start:long,end:long>>")
 def _merge(column):
     return column.map(lambda x: [{"start": a, "end": b} for a, b in spans([(s["start"], s["end"]) for s in x])])
 
@@ -128,11 +125,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     no broadcast grows with it.
     """
     spark = docs.sparkSession
+    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
+    own_bytes = items.agg(F.sum(F.octet_length("text")))
     row = [F.struct(*docs.columns).alias("row")] if whole else []
     kept = f"row {docs.schema.simpleString()}, " if whole else ""
-    docs = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
-    blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
+    blocks = int((own_bytes.first()[0] or 0) // block_bytes) + 1
+    if blocks > 1:  # rows are told apart by their place, so all passes have to read the same files
+        docs = scratch(docs, "decontaminate-docs")
+    docs = docs.select(*row, F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = kept + "key long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     parts = []
     for k in range(blocks):
@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     for part in parts[1:]:
         every = every.unionByName(part)
     merged = every.groupBy("key").agg(*(F.first(c).alias(c) for c in ["row"] * whole), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select(*["row"] * whole, "doc_id", "n_words", _merge("spans").alias("spans"), "items")
+    return merged.select(*["row"] * whole, "doc_id", "n_words", F.pandas_udf(_merge, "array<struct<start:long,end:long>>")("spans").alias("spans"), "items")
 
 
 def hits(found: DataFrame) -> DataFrame:
