@@ -1,0 +1 @@
+"""Streaming: the engine evaluates finished panels and has no streaming operators."""
