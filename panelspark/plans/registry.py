@@ -421,19 +421,29 @@ def partial_conjunction_p(spark, sf_dir):
     return families.partial_conjunction(rows, metrics=["m"], min_pass=2, expand_over=("condition",)).select("factor", "n_conditions", "pc_p")
 
 
-@query()
+_TWO = _FAMILY + ", two AS (SELECT factor, metric, p_value FROM fam UNION ALL SELECT factor, 'n', p_value / 2 FROM fam)"
+_HARMONIC = "list_sum(list_transform(range(1, n + 1), lambda i: 1.0::DOUBLE / i))"
+
+
+@query(f"""WITH {_FAMILY}, i AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY p_value, factor) AS k, count(*) OVER (PARTITION BY bucket) AS n FROM fam), si AS (SELECT *, n * {_HARMONIC} / k * p_value AS v FROM i),
+inner_ AS (SELECT factor, bucket, least(1.0::DOUBLE, min(v) OVER (PARTITION BY bucket ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS inner_p FROM si),
+g AS (SELECT bucket, least(1.0::DOUBLE, min(p_value * n / k)) AS p FROM i GROUP BY bucket), o AS (SELECT *, row_number() OVER (ORDER BY p, bucket) AS k, count(*) OVER () AS n FROM g), so AS (SELECT *, n * {_HARMONIC} / k * p AS v FROM o),
+outer_ AS (SELECT bucket, least(1.0::DOUBLE, min(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS outer_p FROM so)
+SELECT factor, bucket, {_r('~inner_p', '~outer_p')}, round(greatest(inner_p, outer_p), {PLACES}) AS adj_p, greatest(inner_p, outer_p) <= 0.05 AS survived FROM inner_ JOIN outer_ USING (bucket)""")
 def bhy_hierarchical(spark, sf_dir):
     return families.bhy_hierarchical(_family(spark, sf_dir), metrics=["m"], group="bucket").select("factor", "bucket", "inner_p", "outer_p", "adj_p", "survived")
 
 
-@query()
+@query(f"""WITH {_TWO}, r AS (SELECT *, row_number() OVER (ORDER BY p_value, factor, metric) AS k, count(*) OVER () AS n FROM two), s AS (SELECT *, n * {_HARMONIC} / k * p_value AS v FROM r), a AS (SELECT factor, metric, least(1.0::DOUBLE, min(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj_p FROM s)
+SELECT factor, metric, {_r('~adj_p')}, adj_p <= 0.05 AS survived FROM a""")
 def bhy_across_metrics(spark, sf_dir):
     one = _family(spark, sf_dir)
     both = one.unionByName(one.withColumn("metric", F.lit("n")).withColumn("p_value", F.col("p_value") / 2))
     return families.bhy_across_metrics(both, metrics=["m", "n"]).select("factor", "metric", "adj_p", "survived")
 
 
-@query()
+@query(f"""WITH {_TWO}, c AS (SELECT factor, max(p_value) AS pc_p FROM two GROUP BY factor), r AS (SELECT *, row_number() OVER (ORDER BY pc_p, factor) AS k, count(*) OVER () AS n FROM c), s AS (SELECT *, n * {_HARMONIC} / k * pc_p AS v FROM r), a AS (SELECT factor, pc_p, least(1.0::DOUBLE, min(v) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adj_p FROM s)
+SELECT factor, {_r('~pc_p', '~adj_p')}, adj_p <= 0.05 AS survived FROM a""")
 def partial_conjunction_across_metrics(spark, sf_dir):
     one = _family(spark, sf_dir)
     both = one.unionByName(one.withColumn("metric", F.lit("n")).withColumn("p_value", F.col("p_value") / 2))
