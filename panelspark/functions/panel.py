@@ -43,6 +43,11 @@ def strided(panel: DataFrame, horizon: int) -> DataFrame:
     return panel.join(F.broadcast(kept), "date", "left_semi").select(panel.columns)
 
 
+def together(panel: DataFrame, keys: tuple[str, ...] = BY_DATE) -> DataFrame:
+    """Deal rows by ``keys`` once: windows and groups by these and further keys then need no exchange of their own."""
+    return panel.repartition(*keys)
+
+
 def mean_rank(x: str, by: tuple[str, ...]) -> Column:
     """Average rank among non-null values; null stays null."""
     window = Window.partitionBy(*by, F.col(x).isNull())
@@ -61,7 +66,7 @@ def bucketed(panel: DataFrame, n_groups: int, tie_policy: str = "ordinal") -> Da
     if tie_policy not in ("ordinal", "average"):
         raise ValueError(f"tie_policy must be 'ordinal' or 'average', got {tie_policy!r}")
     rank = order_rank("factor", BY_DATE) if tie_policy == "ordinal" else mean_rank("factor", BY_DATE)
-    counted = panel.withColumn("_rank", rank).withColumn("_n", F.count("factor").over(Window.partitionBy(*BY_DATE)))
+    counted = together(panel).withColumn("_rank", rank).withColumn("_n", F.count("factor").over(Window.partitionBy(*BY_DATE)))
     bucket = F.least(F.floor((F.col("_rank") - 1) * n_groups / F.col("_n")), F.lit(n_groups - 1)).cast("int")
     return counted.withColumn("bucket", F.when(F.col("_rank").isNotNull(), bucket)).drop("_rank", "_n")
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.panel import BY_ASSET, BY_DATE, EPSILON, bucketed, dates, finite, mean_rank, moments, order_rank, rank_correlation, strided, tie_columns
+from ..functions.panel import BY_ASSET, BY_DATE, EPSILON, bucketed, dates, finite, mean_rank, moments, order_rank, rank_correlation, strided, tie_columns, together
 
 MIN_IC_ASSETS, MIN_FM_ASSETS, MIN_COMMON_PERIODS, MIN_ROLLING_PAIRS = 2, 3, 20, 10
 OFFSETS = (-6, -3, -1, 1, 6, 12, 24)
@@ -24,7 +24,7 @@ def _complete(panel: DataFrame, return_col: str) -> DataFrame:
 
 def compute_ic(panel: DataFrame, return_col: str = "forward_return") -> DataFrame:
     """Spearman correlation per date: ic, tie_ratio, n_assets.  A date where either side is constant has a null ic."""
-    ranked = _complete(panel, return_col).withColumn("rf", mean_rank("factor", BY_DATE)).withColumn("rr", mean_rank(return_col, BY_DATE))
+    ranked = together(_complete(panel, return_col)).withColumn("rf", mean_rank("factor", BY_DATE)).withColumn("rr", mean_rank(return_col, BY_DATE))
     series = ranked.groupBy(*BY_DATE).agg(rank_correlation("rf", "rr").alias("ic"), (1 - F.countDistinct("factor") / F.count(F.lit(1))).alias("tie_ratio"), F.count(F.lit(1)).alias("n_assets"))
     return series.where(F.col("n_assets") >= MIN_IC_ASSETS)
 
@@ -106,7 +106,7 @@ def weighted_spread_series(panel: DataFrame, forward_periods: int = 5, n_groups:
 
 def k_spread_series(panel: DataFrame, forward_periods: int = 5, k: int = 5, return_col: str = "forward_return") -> DataFrame:
     """Mean return of the k highest less the k lowest signals per sampled date, with the date's dispersion."""
-    rows = _complete(strided(panel, forward_periods), return_col)
+    rows = together(_complete(strided(panel, forward_periods), return_col))
     ranked = rows.withColumn("_rank", order_rank("factor", BY_DATE, descending=True)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*BY_DATE)))
     each = ranked.groupBy(*BY_DATE).agg(
         F.avg(F.when(F.col("_rank") <= k, F.col(return_col))).alias("top"),
@@ -133,7 +133,7 @@ def concentration_series(panel: DataFrame, forward_periods: int = 5, q_top: floa
     """Effective number of names among the top ``q_top`` by rank per sampled date: eff_n, n_top."""
     if weight_by not in ("abs_factor", "alpha_contribution"):
         raise ValueError(f"weight_by must be 'abs_factor' or 'alpha_contribution', got {weight_by!r}")
-    sampled = strided(panel, forward_periods)
+    sampled = together(strided(panel, forward_periods))
     raw = F.abs("factor") if weight_by == "abs_factor" else F.abs(F.signum("factor") * F.col(return_col))
     ranked = sampled.withColumn("_pct", mean_rank("factor", BY_DATE) / F.count(F.lit(1)).over(Window.partitionBy(*BY_DATE))).withColumn("_raw", raw)
     top = F.col("_pct") >= 1 - q_top
@@ -172,7 +172,7 @@ def rank_autocorrelation(panel: DataFrame, forward_periods: int = 1, quantile: f
     """Correlation per sampled date of ranks with each asset's ranks on its sampled date before: rc, n_pair."""
     if quantile is not None and not 0.0 < quantile < 0.5:
         raise ValueError(f"quantile must be in (0, 0.5), got {quantile!r}")
-    sampled = strided(panel, forward_periods).withColumn("rank_now", mean_rank("factor", BY_DATE)).withColumn("n_now", F.count(F.lit(1)).over(Window.partitionBy(*BY_DATE)))
+    sampled = together(strided(panel, forward_periods)).withColumn("rank_now", mean_rank("factor", BY_DATE)).withColumn("n_now", F.count(F.lit(1)).over(Window.partitionBy(*BY_DATE)))
     before = Window.partitionBy(*BY_ASSET).orderBy("date")
     paired = sampled.withColumn("rank_was", F.lag("rank_now").over(before)).withColumn("n_was", F.lag("n_now").over(before)).where(F.col("rank_was").isNotNull())
     if quantile is not None:
