@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from typing import ClassVar
 
 import numpy as np
@@ -95,6 +95,13 @@ class Metric:
     def summarise(self, s: pd.DataFrame, c: Context) -> MetricResult:
         raise NotImplementedError
 
+    def __call__(self, series, **facts) -> MetricResult:
+        """Summarise one signal's finished series (pandas, or a DataFrame of that size); facts are fields of ``Context``."""
+        s = series.toPandas() if isinstance(series, DataFrame) else series
+        widest = next((int(s[c].max()) for c in ("universe", "n_assets") if c in s and len(s)), 0)
+        known = {"n_periods": len(s), "n_assets": widest, "n_assets_sampled": widest, "columns": tuple(s.columns)}
+        return replace(self.summarise(s, Context(**(known | facts))), name=self.name)
+
 
 def short(reason: str, *, n: int | None = None, axis: str | None = None, descriptive: bool = False, alternative: str = "two-sided", **extra) -> MetricResult:
     """A result that could not be had: not a number, p of 1 (none for descriptive metrics), and why."""

@@ -35,6 +35,14 @@ def test_golden_rank_correlation(golden):
     assert m.infer(m.NON_OVERLAPPING, s, 1)[0] == pytest.approx(5.404723194889399, rel=1e-11)
 
 
+def test_direct_call_equals_evaluation(golden):
+    panel = long_panel(golden, ["factor"])
+    (r,) = ev.evaluate(golden, metrics={"ic": m.ic(), "fm": m.fm_beta(), "spread": m.quantile_spread()}, factor_cols=["factor"])
+    assert m.ic()(p.compute_ic(panel)).p_value == pytest.approx(r.metrics["ic"].p_value, rel=1e-9)
+    assert m.fm_beta()(p.compute_fm_betas(panel)).stat == pytest.approx(r.metrics["fm"].stat, rel=1e-9)
+    assert m.quantile_spread()(m.quantile_spread().source(panel, 5), n_periods=r.n_periods).value == pytest.approx(r.metrics["spread"].value, rel=1e-9)
+
+
 def test_forward_return_by_hand(spark):
     rows = [(d, a, float(x)) for a, xs in {"A": [100, 110, 121, 133.1, 146.41], "B": [200, 190, 180, 170, 160]}.items() for d, x in enumerate(xs)]
     raw = spark.createDataFrame(rows, "date int, asset_id string, price double")
