@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import sys
 import tempfile
@@ -18,10 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of text that Spark hands a worker at a time, where the session has no setting of its own.
+BATCH_ROWS = 1_000
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":  # Spark's default
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -48,6 +61,12 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

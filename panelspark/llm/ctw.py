@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, load, row_keys, scratch, slices
+from .common import as_bytes, load, row_keys, scratch, slices, text_batches
 from .language import remainder
 from .words import Lookup, joined
 
 DEPTH, CONTEXTS, HOT, CLASSES = 7, 65_536, 500_000, 6
 #: Distinct words that a worker counts at a time, and bytes of text handled at a time.
-COUNTED, CHUNK_BYTES = 400_000, 4_000_000
+COUNTED, CHUNK_BYTES = 300_000, 2_000_000
 END = b"\n"
 
 
@@ -386,7 +386,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     Each distinct word is scored once, in the table that the join reads.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == 0).alias("held_out"), label.alias("label"), F.col(text_col).cast("string").alias("text"))
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == 0).alias("held_out"), label.alias("label"), F.col(text_col).cast("string").alias("text"))
     number, shares = _classes(docs, label_col, classes)
     counted = docs.select(F.when(F.col("held_out"), -1).otherwise(number).cast("int").alias("class"), "text").mapInArrow(_count_words, "class int, word binary, n long")
     by_class = scratch(counted.groupBy("class", "word").agg(F.sum("n").alias("n")), "ctw-class-words")

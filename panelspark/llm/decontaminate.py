@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, load, scratch
+from .common import as_bytes, load, scratch, text_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -132,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     blocks = int((own_bytes.first()[0] or 0) // block_bytes) + 1
     if blocks > 1:  # rows are told apart by their place, so all passes have to read the same files
         docs = scratch(docs, "decontaminate-docs")
-    docs = docs.select(*row, F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = text_batches(docs).select(*row, F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = kept + "key long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     parts = []
     for k in range(blocks):
@@ -158,5 +158,15 @@ def op10_decontaminate(spark, sf_dir):
     return hits(decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")))
 
 
+#: The same by joins of all windows or shingles, for small tables.
+SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, m, array_to_string(w[k:k + m - 1], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT r, m, k, array_to_string(w[k:k + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d JOIN (SELECT DISTINCT m FROM iw) ON len(w) >= m)),
+hit AS (SELECT r, dw.m, k, item FROM dw JOIN iw ON dw.m = iw.m AND dw.g = iw.g),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS p FROM hit) GROUP BY r),
+s AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)"""
+
 QUERIES = {"op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_decontaminate": SQL}

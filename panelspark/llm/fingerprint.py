@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, slices
+from .common import load, slices, text_batches
 from .words import BASE, mixed
 
 SKETCH, LEVELS, FIRST = 48, 5, 2
@@ -168,7 +168,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x.hex() for x in sketches([t.encode() for t in texts])], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
 _RANGED = [("part", pa.int32()), ("extra", pa.bool_()), ("place", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary()), ("sketch", pa.binary())]
@@ -242,7 +242,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     driver gathers), sorted there and read in one pass.
     """
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    docs = docs.select(place.alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = text_batches(docs).select(place.alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = min(MOST_RANGES, docs.count() // range_rows + 1)
     cuts: list[int] = []
     if ranges > 1:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, text_batches
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,7 +192,7 @@ def _extract(batches):
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Return (page_id, url, text, n_chars), one row per row of ``pages``; nulls in page_id and url pass through."""
-    own = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    own = text_batches(pages).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     return own.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

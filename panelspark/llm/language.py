@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, slices
+from .common import load, slices, text_batches
 from .words import gram_buckets, joined
 
 BITS, ORDERS = 16, (1, 2, 3, 4)
@@ -23,7 +23,7 @@ BITS, ORDERS = 16, (1, 2, 3, 4)
 TRAIN_ROWS = 2_000
 SWITCH, UNLIKELY, SMOOTHING = 18.0, -30.0, 0.5
 #: Word types kept by a worker, and bytes of text handled at a time.
-CACHED, CHUNK_BYTES = 300_000, 4_000_000
+CACHED, CHUNK_BYTES = 200_000, 2_000_000
 
 #: First and last code point of scripts' main ranges.
 SCRIPTS = {
@@ -230,7 +230,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", train
     Rows without a language or a text are left out.  What reaches the driver is
     bounded by the number of languages times the number of buckets.
     """
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = text_batches(rows).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     share = {r.lang: min(1.0, train_rows / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(share)
     counts, scripts = np.zeros((len(langs), 1 << BITS)), np.zeros((len(langs), len(NAMES)))
@@ -273,7 +273,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = f"{schema}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
-    return docs.select(*keep, F.col(text_col).cast("string").alias("text_to_label")).mapInArrow(_identify(shared, penalty), out)
+    return text_batches(docs).select(*keep, F.col(text_col).cast("string").alias("text_to_label")).mapInArrow(_identify(shared, penalty), out)
 
 
 def remainder(id_col: str, of: int) -> Column:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, row_keys, worker_state
+from .common import load, row_keys, text_batches, worker_state
 
 WINDOW, END_ID, GROUP_DOCS = 2048, 1, 8192
 #: Pre-tokens kept by a worker (some 200 bytes each), and the longest that is kept.
-CACHED, CACHED_CHARS = 500_000, 48
+CACHED, CACHED_CHARS = 250_000, 48
 
 # The vocabulary's pre-tokenizer pattern for Latin-1 texts, classes written out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\xa0"
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     """
     groups = max(1, -(-docs.count() // group_docs))
     schema = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer_path, window, end_id, keep_ids), schema)
+    pieces = text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer_path, window, end_id, keep_ids), schema)
     if not keep_ids:
         pieces = pieces.drop("ids")
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups)))
