@@ -24,20 +24,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    each = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(edges.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    return each.groupBy("node").agg(F.sum("down").alias("n"), F.min("down").alias("root")).where("n > 1 or n = 1 and root = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) of longs to (node, component): the least node reachable; one row per node that has an edge.
 
-    Rounds continue until the edges are stars around least nodes, which leaves them
-    unchanged; every round is a table in the shared folder.
+    Rounds continue until the edges are stars around least nodes; every round is a
+    table in the shared folder.
     """
-    edges = scratch(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     for _ in range(MOST_ROUNDS):
         edges = scratch(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        if _settled(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError("components did not settle")

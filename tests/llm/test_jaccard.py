@@ -74,10 +74,12 @@ def test_rounds_and_orders_change_nothing(spark, monkeypatch):
     want = brute_force(docs)
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)  # expand at once
     assert result(link_components(df)) == want
-    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 3)
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 2)
     monkeypatch.setattr(jaccard, "EXPAND", -1e9)  # hubs as long as rounds last
-    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 2)
-    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
+    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 10**9)
+    monkeypatch.setattr(jaccard, "FIRST_HUBS", 1)
+    monkeypatch.setattr(jaccard, "LATER_HUBS", 1)
+    monkeypatch.setattr(jaccard, "LOOK_BACK", 1)
     assert result(link_components(df)) == want
 
 
