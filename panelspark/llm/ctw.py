@@ -9,12 +9,13 @@ for each of the most frequent values of a label column (the language, say), and
 text's probability is the mean over these trees: scoring never sees the label.
 
 Counts cover every training document: words are counted by a shuffle, and byte
-contexts by a second one over the distinct words.  Only contexts with at least a
-1/CONTEXTS share of all bytes stay in the tree, so at most CONTEXTS per depth
-reach the driver and the executors; the bytes seen beyond them are a leaf of their
-own.  Word counts for the base score come from a join; the words that make up a
-1/HOT share of all tokens or more (HOT at the most) are broadcast instead, so no
-join key is hot.
+contexts by a second one over the distinct words.  Every context that occurs stays
+in the tree, however rare.  Depths up to TOP, which the alphabet bounds, are weighed
+on the driver and broadcast; the subtrees below are dealt over shards by their TOP + 1
+nearest bytes, folded there for the top, and meet the distinct contexts that chunks of
+distinct words ask for.  Word counts for the base score come from a join; the words
+that make up a 1/HOT share of all tokens or more (HOT at the most) are broadcast
+instead, so no join key is hot.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .common import as_bytes, load, row_keys, scratch, slices, text_batches
 from .language import remainder
 from .words import Lookup, joined
 
-DEPTH, CONTEXTS, HOT, CLASSES = 7, 65_536, 500_000, 6
+DEPTH, TOP, HOT, CLASSES = 7, 2, 500_000, 6
+#: About so many rows of counts make a shard of the trees, and so many distinct words a chunk.
+SHARD_ROWS, CHUNK_WORDS = 50_000, 100_000
 #: Distinct words that a worker counts at a time, and bytes of text handled at a time.
 COUNTED, CHUNK_BYTES = 300_000, 2_000_000
 END = b"\n"
@@ -159,6 +162,7 @@ class Tree:
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.levels = levels
         self.lookups: list[tuple[Lookup, Lookup]] = []
+        self.edge: tuple = ()
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each token."""
@@ -167,10 +171,16 @@ class Tree:
     def coded_scores(self, words: list[bytes], data: np.ndarray, offset: np.ndarray, starts: np.ndarray, full: np.ndarray | None = None) -> np.ndarray:
         if not words:
             return np.zeros(0)
+        full = _contexts(data, max(0, len(self.levels) - 1)) if full is None else full
+        each = self.byte_scores(data, offset, full)
+        each[_past_end(words, starts)] = 0
+        return np.add.reduceat(each, starts[:-1])
+
+    def byte_scores(self, data: np.ndarray, offset: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte after the ``offset`` bytes of its context at the most; 0 at offset 0."""
         self.lookups = self.lookups or [(Lookup(contexts), Lookup(keys)) for contexts, _, keys, _ in self.levels]
         each = np.zeros(len(data))
         depth = len(self.levels) - 1
-        full = _contexts(data, max(0, depth)) if full is None else full
         known = np.zeros(len(data), np.int64)  # the deepest context of each position
         at = np.flatnonzero(offset > 0)
         todo: list[tuple[np.ndarray, np.ndarray]] = [(at, np.zeros(len(at), np.int64))] if depth >= 0 and len(self.levels[0][0]) else []
@@ -193,8 +203,7 @@ class Tree:
             each[at[hit]] += self.levels[d][3][found[hit]]
             each[at[~hit]] += self.levels[d][1][place[~hit]]
             left[at] = ~hit
-        each[_past_end(words, starts)] = 0
-        return np.add.reduceat(each, starts[:-1])
+        return each
 
 
 def _nodes(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,8 +219,12 @@ def _nodes(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return keys, zeros, ones, path
 
 
-def weigh(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tree:
-    """Weight a tree.  rows: by depth, (context, byte, n) sorted by context and byte; the parent of every context is in the tree.
+def _low(d: int) -> np.uint64:
+    return np.uint64((1 << 8 * d) - 1)
+
+
+def _fold(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int = 0, under: tuple | None = None):
+    """Bottom-up: contexts, their numbers by row, nodes, their parents' places, weights and leaves by depth, and the log weighted probability of the first depth's nodes.
 
     What a context has seen beyond its children in the tree is one more child, a leaf.
     """
@@ -219,73 +232,121 @@ def weigh(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tree:
     number = [np.searchsorted(u, c) for u, (c, _, _) in zip(contexts, rows, strict=True)]
     made = [_nodes(i, b.astype(np.int64), n) for i, (_, b, n) in zip(number, rows, strict=True)]
     depths = len(rows)
-    up, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    up = [np.zeros(0, np.int64)]
     for d in range(1, depths):
-        above = np.searchsorted(contexts[d - 1], contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1))
-        parent.append(above)
+        above = np.searchsorted(contexts[d - 1], contexts[d] & _low(first + d - 1))
         keys = made[d][0]
         up.append(np.searchsorted(made[d - 1][0], above[keys >> 8] * 256 + (keys & 255)) if len(keys) else np.zeros(0, np.int64))
     weight, leaf = [np.zeros(0)] * depths, [np.zeros(0)] * depths
     below = np.zeros(0)
     for d in range(depths - 1, -1, -1):
-        _, zeros, ones, _ = made[d]
+        keys, zeros, ones, _ = made[d]
         left0, left1, split = zeros.copy(), ones.copy(), np.zeros(len(zeros))
+        m = len(zeros)
         if d + 1 < depths and len(below):
-            m = len(zeros)
             left0 -= np.bincount(up[d + 1], made[d + 1][1], m)
             left1 -= np.bincount(up[d + 1], made[d + 1][2], m)
             split += np.bincount(up[d + 1], below, m)
+        elif d + 1 == depths and under is not None and len(under[0]):
+            place = np.searchsorted(keys, np.searchsorted(contexts[d], under[0]) * 256 + under[1])
+            left0[place] -= under[2]
+            left1[place] -= under[3]
+            split[place] += under[4]
         estimate = _log_kt(zeros, ones)
         split += _log_kt(left0, left1)
         weight[d] = 1 / (1 + np.exp(np.clip(split - estimate, -700, 700)))
         leaf[d] = (left1 + 0.5) / (left0 + left1 + 1)
         below = np.logaddexp(estimate, split) - math.log(2)
+    return contexts, number, made, up, weight, leaf, below
+
+
+def weigh(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], first: int = 0, under: tuple | None = None, above: tuple | None = None) -> Tree:
+    """Weight a tree.  rows: by depth, (context, byte, n) sorted by context and byte; the parent of every context is in the tree.
+
+    A top has ``under``: the (context, node, zeros, ones, log weighted probability) that
+    its deepest nodes' children sum to.  A subtree from depth ``first`` on has ``above``,
+    the ``edge`` of the top's tree.
+    """
+    contexts, number, made, up, weight, leaf, _ = _fold(rows, first, under)
     levels, before = [], np.zeros(0)
     sums = remaining = np.zeros(0)
-    for d in range(depths):
+    for d in range(len(rows)):
         keys, zeros, ones, path = made[d]
         one = (ones + 0.5) / (zeros + ones + 1)
-        sums, remaining = (weight[0] * one, 1 - weight[0]) if d == 0 else (sums[up[d]] + remaining[up[d]] * weight[d] * one, remaining[up[d]] * (1 - weight[d]))
+        if d == 0 and above is None:
+            sums, remaining = weight[0] * one, 1 - weight[0]
+        else:
+            if d == 0:
+                nodes, sums, remaining, upper, before = above
+                place = np.searchsorted(nodes, (contexts[0][keys >> 8] & _low(first - 1)) << np.uint64(8) | (keys & 255).astype(np.uint64))
+            else:
+                place = up[d]
+            sums, remaining = sums[place] + remaining[place] * weight[d] * one, remaining[place] * (1 - weight[d])
         final = np.log10(np.stack([1 - (p := sums + remaining * leaf[d]), p]))
         byte = rows[d][1].astype(np.int64)
         bits = (byte[:, None] >> (7 - np.arange(8))) & 1
         probability = final[bits, path].sum(1) if len(byte) else np.zeros(0)
         m = len(contexts[d])
         unseen = np.maximum(1 - np.bincount(number[d], 10**probability, m), 1e-12)
-        if d == 0:
+        if d == 0 and above is None:
             escape = np.log10(unseen / np.maximum(1, 256 - np.bincount(number[d], minlength=m)))
         elif m:
-            row = np.searchsorted(levels[d - 1][2], (rows[d][0] & np.uint64((1 << 8 * (d - 1)) - 1)) << np.uint64(8) | byte.astype(np.uint64))
+            row = np.searchsorted(levels[d - 1][2] if d else upper, (rows[d][0] & _low(first + d - 1)) << np.uint64(8) | byte.astype(np.uint64))
             escape = np.log10(unseen / np.maximum(1 - np.bincount(number[d], 10 ** before[row], m), 1e-12))
         else:
             escape = np.zeros(0)
         levels.append((contexts[d], escape, rows[d][0] << np.uint64(8) | byte.astype(np.uint64), probability))
         before = probability
-    return Tree(levels)
+    tree = Tree(levels)
+    tree.edge = (contexts[-1][keys >> 8] << np.uint64(8) | (keys & 255).astype(np.uint64), sums, remaining, levels[-1][2], before)
+    return tree
+
+
+def _rows(deepest: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, first: int, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Counts at each byte's deepest context to those at all depths from ``first`` on."""
+    keys, times, out = np.zeros(0, np.uint64), np.zeros(0), []
+    for d in range(depth, first - 1, -1):
+        own = (deepest == d) | ((deepest > d) & (d == depth))
+        keys = np.concatenate([keys, context[own].astype(np.uint64) << np.uint64(8) | byte[own].astype(np.uint64)]) & _low(d + 1)
+        keys, back = np.unique(keys, return_inverse=True)
+        times = np.bincount(back, np.concatenate([times, n[own]]), len(keys))
+        out.insert(0, (keys >> np.uint64(8), (keys & np.uint64(255)).astype(np.int64), times))
+    return out
 
 
-def _trees(vocabulary: DataFrame, classes: int, depth: int, most: int) -> list[Tree]:
-    """The weighted tree of each class's words, from counts over the whole vocabulary; ``most`` contexts per depth in all."""
-    grams = vocabulary.mapInArrow(_count_grams(depth), "class int, depth int, context long, byte int, n long").groupBy("class", "depth", "context", "byte").agg(F.sum("n").alias("n"))
-    shallow = (
-        grams.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("depth"))))
-        .withColumn("context", F.col("context").bitwiseAND(F.expr("shiftleft(1L, 8 * d) - 1")))
-        .groupBy("class", "d", "context", "byte")
-        .agg(F.sum("n").alias("n"))
-    )
-    per_context = scratch(shallow.groupBy("class", "d", "context").agg(F.sum("n").alias("in_context"), F.sort_array(F.collect_list(F.struct("byte", "n"))).alias("seen")), "ctw-contexts")
-    total = per_context.where("d = 0").agg(F.sum("in_context")).first()[0] or 0
-    kept = per_context.where(F.col("in_context") >= max(1.0, total / most)).select("class", "d", "context", F.inline("seen")).toArrow()
-    k_of, d_of, context, byte, n = (kept.column(c).to_numpy() for c in ("class", "d", "context", "byte", "n"))
-    trees = []
-    for k in range(classes):
-        rows = []
-        for d in range(depth + 1):
-            own = np.flatnonzero((k_of == k) & (d_of == d))
-            own = own[np.lexsort((byte[own], context[own]))]
-            rows.append((context[own].astype(np.uint64), byte[own], n[own]))
-        trees.append(weigh(rows))
-    return trees
+def _columns(table: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _shard_of(context: np.ndarray, shards: int) -> np.ndarray:
+    return (((context & _low(TOP + 1)).astype(np.int64) * 2_654_435_761) >> 16) % shards
+
+
+def _fold_shard(depth: int):
+    """A class's counts in a shard to what the nodes of its shallowest contexts sum to by their parent's node."""
+
+    def run(key, table):
+        _, _, made, _, _, _, below = folded = _fold(_rows(*_columns(table, ("depth", "context", "byte", "n")), TOP + 1, depth), TOP + 1)
+        keys, zeros, ones, _ = made[0]
+        nodes, back = np.unique((folded[0][0][keys >> 8] & _low(TOP)).astype(np.int64) << 8 | (keys & 255), return_inverse=True)
+        sums = [np.bincount(back, x, len(nodes)) for x in (zeros, ones, below)]
+        return pa.table([pa.array(np.full(len(nodes), key[0].as_py(), np.int32)), pa.array(nodes >> 8), pa.array((nodes & 255).astype(np.int32)), *map(pa.array, sums)], ["class", "context", "node", "zeros", "ones", "below"])
+
+    return run
+
+
+def _trees(grams: DataFrame, classes: int, depth: int) -> list[Tree]:
+    """The top of each class's tree, weighed with all that the shards hold below it."""
+    top = min(TOP, depth)
+    shallow = grams.groupBy("class", F.least("depth", F.lit(top)).alias("depth"), F.col("context").bitwiseAND(int(_low(top))).alias("context"), "byte").agg(F.sum("n").alias("n")).toArrow()
+    k_of, *counts = _columns(shallow, ("class", "depth", "context", "byte", "n"))
+    under_of, under = None, []
+    if depth > TOP:
+        folded = grams.where(F.col("depth") > TOP).groupBy("class", "shard").applyInArrow(_fold_shard(depth), "class int, context long, node int, zeros double, ones double, below double")
+        sums = folded.groupBy("class", "context", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
+        under_of, *under = _columns(sums, ("class", "context", "node", "zeros", "ones", "below"))
+        under[0] = under[0].astype(np.uint64)
+    return [weigh(_rows(*(x[k_of == k] for x in counts), 0, top), 0, tuple(x[under_of == k] for x in under) if under else None) for k in range(classes)]
 
 
 def _classes(docs: DataFrame, column: str | None, most: int):
@@ -306,26 +367,108 @@ def _classes(docs: DataFrame, column: str | None, most: int):
 # --- scoring -----------------------------------------------------------------
 
 
-def _score_words(shared):
-    """(word, n) to (word, n, scores): the log10 probability of a token in each class's tree."""
+def _ask(depth: int, shards: int):
+    """A chunk of words to the (context, byte) keys that it needs of each shard."""
 
-    def run(batches):
-        trees = [Tree(x) for x in shared.value]
-        deep = max(len(t.levels) for t in trees) - 1
-        for batch in batches:
-            words, out = batch.column(0).to_pylist(), []
-            for lo, hi in slices([len(w) + 2 for w in words], CHUNK_BYTES // 4):
-                own = words[lo:hi]
-                data, offset, starts = _coded(own)
-                full = _contexts(data, max(0, deep))
-                out.append(np.stack([t.coded_scores(own, data, offset, starts, full) for t in trees], 1).astype(np.float32))
-            flat = np.concatenate(out).ravel() if out else np.zeros(0, np.float32)
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * len(trees)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], ["word", "n", "scores"])
+    def run(key, table):
+        words, found = table.column("word").to_pylist(), []
+        for lo, hi in slices([len(w) + 2 for w in words], CHUNK_BYTES):
+            data, offset, _ = _coded(words[lo:hi])
+            at = offset > TOP
+            found.append(np.unique(_keys(data, offset, depth)[at]))
+        keys = np.unique(np.concatenate(found))
+        of = _shard_of(keys >> np.uint64(8), shards)
+        by = np.argsort(of, kind="stable")
+        which, starts = np.unique(of[by], return_index=True)
+        parts = [x.tobytes() for x in np.split(keys[by], starts[1:])] if len(keys) else []
+        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array(which, pa.int64()), pa.array(parts, pa.binary())], ["chunk", "shard", "keys"])
 
     return run
 
 
+def _keys(data: np.ndarray, offset: np.ndarray, depth: int) -> np.ndarray:
+    """Each byte behind its context, which doesn't go beyond the space before its word."""
+    keep = np.uint64(8) * np.minimum(offset, depth).astype(np.uint64)
+    return (_contexts(data, depth) & ((np.uint64(1) << keep) - np.uint64(1))) << np.uint64(8) | data
+
+
+def _key_depths(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Depth of each key's context: up to the space before the word, which no word holds."""
+    out = np.full(len(keys), depth, np.int64)
+    for d in range(depth - 1, 0, -1):
+        out[(keys >> np.uint64(8 * d)) & np.uint64(255) == 32] = d
+    return out
+
+
+def _answer(shared, depth: int):
+    """A shard's keys by chunk, and its counts, to each key's log10 probability in each class's tree."""
+
+    def run(key, asked, counts):
+        chunks = asked.column("chunk").to_pylist()
+        parts = [np.frombuffer(x, np.uint64) for x in asked.column("keys").to_pylist()]
+        if not parts:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], ["chunk", "keys", "scores"])
+        keys = np.unique(np.concatenate(parts))
+        k_of, *own = _columns(counts, ("class", "depth", "context", "byte", "n"))
+        data, offset, full = (keys & np.uint64(255)).astype(np.uint8), _key_depths(keys, depth), keys >> np.uint64(8)
+        scores = np.zeros((len(keys), len(shared.value)), np.float32)
+        for k, (levels, edge) in enumerate(shared.value):
+            deep = weigh(_rows(*(x[k_of == k] for x in own), TOP + 1, depth), TOP + 1, above=edge).levels
+            scores[:, k] = Tree(levels + deep).byte_scores(data, offset, full)
+        found = [scores[np.searchsorted(keys, x)].tobytes() for x in parts]
+        return pa.table([pa.array(chunks, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(found, pa.binary())], ["chunk", "keys", "scores"])
+
+    return run
+
+
+def _finish(shared, depth: int):
+    """A chunk of words and the answers to its keys to (word, n, scores): the log10 probability of a token in each class's tree."""
+
+    def run(key, words, answers):
+        tops = [Tree(levels) for levels, _ in shared.value]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist())])
+        scores = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in answers.column("scores").to_pylist())]).reshape(-1, len(tops))
+        by = np.argsort(keys)
+        keys, scores = keys[by], scores[by]
+        flat, out = words.column("word").to_pylist(), []
+        for lo, hi in slices([len(w) + 2 for w in flat], CHUNK_BYTES):
+            own = flat[lo:hi]
+            data, offset, starts = _coded(own)
+            full = _contexts(data, depth)
+            deep = np.flatnonzero(offset > TOP) if depth > TOP else np.zeros(0, np.int64)
+            place = np.searchsorted(keys, _keys(data, offset, depth)[deep])
+            near = np.flatnonzero((offset > 0) & (offset <= TOP)) if depth > TOP else np.flatnonzero(offset > 0)
+            end = _past_end(own, starts)
+            each = np.zeros((len(data), len(tops)))
+            each[deep] = scores[place]
+            for k, tree in enumerate(tops):
+                each[near, k] = tree.byte_scores(data[near], offset[near], full[near])
+            each[end] = 0
+            out.append(np.add.reduceat(each, starts[:-1]).astype(np.float32))
+        flat_scores = np.concatenate(out).ravel() if out else np.zeros(0, np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * len(tops)), pa.array(flat_scores))
+        return pa.table([words.column("word"), words.column("n"), lists], ["word", "n", "scores"])
+
+    return run
+
+
+def _scored_words(by_class: DataFrame, classes: int, depth: int) -> DataFrame:
+    """(word, n, scores) of all distinct words: trees in shards meet the keys of words in chunks."""
+    spark = by_class.sparkSession
+    grams = by_class.where("class >= 0").mapInArrow(_count_grams(depth), "class int, depth int, context long, byte int, n long").groupBy("class", "depth", "context", "byte").agg(F.sum("n").alias("n"))
+    grams = scratch(grams, "ctw-grams")
+    shards = grams.count() // SHARD_ROWS + 1
+    grams = grams.withColumn("shard", F.shiftright(F.col("context").bitwiseAND(int(_low(TOP + 1))) * F.lit(2_654_435_761), 16) % shards)
+    tops = spark.sparkContext.broadcast([(t.levels, t.edge) for t in _trees(grams, classes, depth)])
+    words = scratch(by_class.groupBy("word").agg(F.sum("n").alias("n")), "ctw-vocabulary")
+    words = words.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(words.count() // CHUNK_WORDS + 1)))
+    answered = spark.createDataFrame([], "chunk long, keys binary, scores binary")
+    if depth > TOP:
+        asked = words.groupBy("chunk").applyInArrow(_ask(depth, shards), "chunk long, shard long, keys binary")
+        answered = asked.groupBy("shard").cogroup(grams.where(F.col("depth") > TOP).groupBy("shard")).applyInArrow(_answer(tops, depth), "chunk long, keys binary, scores binary")
+    return words.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_finish(tops, depth), "word binary, n long, scores array<float>")
+
+
 def _score(shared, classes: int):
     """(doc_id, held_out, text) to one row per text with what its common words give, and one per text and other word, for the join."""
     names = ["word", "row", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", *(f"s{k}" for k in range(classes))]
@@ -376,7 +519,7 @@ def _score(shared, classes: int):
     return run, schema
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", folds: int = 10, depth: int = DEPTH, contexts: int = CONTEXTS, hot: int = HOT, classes: int = CLASSES) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", folds: int = 10, depth: int = DEPTH, hot: int = HOT, classes: int = CLASSES) -> DataFrame:
     """Return (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
     Rows whose crc32(doc_id as text) modulo ``folds`` is not 0 train both models (a
@@ -390,10 +533,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     number, shares = _classes(docs, label_col, classes)
     counted = docs.select(F.when(F.col("held_out"), -1).otherwise(number).cast("int").alias("class"), "text").mapInArrow(_count_words, "class int, word binary, n long")
     by_class = scratch(counted.groupBy("class", "word").agg(F.sum("n").alias("n")), "ctw-class-words")
-    trees = _trees(by_class.where("class >= 0"), len(shares), depth, contexts)
     broadcast = docs.sparkSession.sparkContext.broadcast
-    scorer = _score_words(broadcast([t.levels for t in trees]))
-    vocabulary = scratch(by_class.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(scorer, "word binary, n long, scores array<float>"), "ctw-words")
+    vocabulary = scratch(_scored_words(by_class, len(shares), depth), "ctw-words")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     least = max(1.0, total / hot)
     common = vocabulary.where(F.col("n") >= least).toArrow()

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from panelspark.llm import ctw
 from panelspark.llm.ctw import END, score, tokens, weigh
 from panelspark.llm.words import Lookup
 
@@ -164,3 +165,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert score(no_docs).collect() == []
     (r,) = score(odd_docs.where("doc_id = 8"), folds=1).collect()
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == pytest.approx(0) and r.score < 0
+
+
+def test_every_context_stays_in_the_sharded_trees(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "SHARD_ROWS", 200, raising=False)
+    monkeypatch.setattr(ctw, "CHUNK_WORDS", 50, raising=False)
+    # a byte's rare context among 400,000 others: far less than 1/65,536 of all bytes
+    texts = ["the cat sat on a mat " * 20_000, "rarewordhere rarewordhere otherthing"] + [f"w{i * 7919} and thing{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, "rarewordhere"), (1001, "rarewordzzzz"), (1002, "")], "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {r.doc_id: r.score for r in score(docs, label_col=None).collect()}
+    words = Counter(w for i, t in enumerate(texts) if not held(i) for w in tokens(t.encode()))
+    for i in (1000, 1001, 1002):
+        if not held(i):
+            words.update(tokens({1000: b"rarewordhere", 1001: b"rarewordzzzz", 1002: b""}[i]))
+    tree = weigh(rows(words, 7))
+    for i, t in [(1, texts[1]), (1000, "rarewordhere"), (1001, "rarewordzzzz"), (1002, "")] + list(enumerate(texts))[2:40]:
+        assert got[i] == pytest.approx(sum(tree.scores(tokens(t.encode()))), rel=1e-5), i
