@@ -87,7 +87,7 @@ def _contexts(data: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _count_grams(depth: int):
+def _count_grams(depth: int, most: int = CHUNK_BYTES):
     """(word, n) of one class to (class, depth, context, byte, n) at the deepest context each byte has."""
     low = np.uint64(255)
 
@@ -122,9 +122,9 @@ def _count_grams(depth: int):
                         own = np.flatnonzero((offset == d if d < depth else offset >= d) & (times > 0) & (each == k))
                         kept.setdefault((k, d), []).append(((context[own] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | data[own], times[own]))
                         size += len(own)
-            if size > 3 * CHUNK_BYTES:
+            if size > 3 * most:
                 size = merge()
-                if size > CHUNK_BYTES:
+                if size > most:
                     yield from flush()
                     size = 0
         merge()
