@@ -11,18 +11,19 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, row_keys, text_batches, worker_state
+from .common import load, row_keys, slices, text_batches, worker_state
 
 WINDOW, END_ID, GROUP_DOCS = 2048, 1, 8192
-#: Pre-tokens kept by a worker (some 200 bytes each), and the longest that is kept.
-CACHED, CACHED_CHARS = 250_000, 48
+#: Pre-tokens that a generation of a worker's cache holds before the next one begins (some 200 bytes each), the
+#: longest that is kept, and characters cut at a time.
+CACHED, CACHED_CHARS, CHUNK_CHARS = 200_000, 48, 2_000_000
 
 # The vocabulary's pre-tokenizer pattern for Latin-1 texts, classes written out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\xa0"
@@ -31,12 +32,19 @@ _UNSURE = re.compile("[\x1c-\x1f\x85]").search
 _INNER = re.compile(r"(?<=\S) (?=\S)").split
 
 
+def _packed(encoding) -> bytes:
+    ids = encoding.ids
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Byte-level BPE with a cache of pre-tokens, which are encoded independently of each other.
 
     A text beyond Latin-1, where classes of characters depend on a Unicode version, is
     only cut at spaces between two characters that aren't white space; the
-    tokenizer always cuts there too.
+    tokenizer always cuts there too.  A text that holds the literal of a special token
+    goes to the tokenizer as it is, which gives that token's id.  The cache is of two
+    generations: what the older one alone knows is forgotten when the newer is full.
     """
 
     def __init__(self, path: str):
@@ -44,37 +52,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
+    def _cut(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
             sure = not _UNSURE(text)
         except UnicodeEncodeError:
             sure = False
         if sure:
-            parts = _PIECES(text)
-        else:
-            first, *rest = _INNER(text)
-            parts = [first, *(" " + x for x in rest)]
-        known = self.known
-        found = [known.get(x) for x in parts]
-        if None in found:
-            new = list({x for x, y in zip(parts, found, strict=True) if y is None})
-            ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            made = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, ids, strict=True)}
-            found = [made[x] if y is None else y for x, y in zip(parts, found, strict=True)]
-            if len(known) + len(made) > CACHED:
-                known.clear()
-            known.update((x, y) for x, y in made.items() if len(x) <= CACHED_CHARS)
-        return b"".join(found)
+            return _PIECES(text)
+        first, *rest = _INNER(text)
+        return [first, *(" " + x for x in rest)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        out: list[bytes] = []
+        for lo, hi in slices([len(t) for t in texts], CHUNK_CHARS):
+            whole = [any(x in t for x in self.literals) for t in texts[lo:hi]]
+            parts = [[] if w else self._cut(t) for t, w in zip(texts[lo:hi], whole, strict=True)]
+            if len(self.known) > CACHED:
+                self.old, self.known = self.known, {}
+            known, old = self.known, self.old
+            missing = set().union(*parts).difference(known)
+            known.update((x, old[x]) for x in missing if x in old)
+            new = list(missing.difference(known))
+            known.update((x, _packed(e)) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+            for text, own, w in zip(texts[lo:hi], parts, whole, strict=True):
+                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False)) if w else b"".join(map(known.__getitem__, own)))
+            for x in new:
+                if len(x) > CACHED_CHARS:
+                    del known[x]
+        return out
 
 
 def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
     """Batches of (doc_id, text) to one row per piece: full windows, then what is left."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = struct.pack("<I", end_id)
 
     def run(batches):
         encoder, seen = worker_state(f"encoder {path}", lambda: Encoder(path)), 0
@@ -83,8 +99,8 @@ def _pieces(path: str, window: int, end_id: int, keep_ids: bool):
             keys = row_keys(seen, len(docs)).to_pylist()
             seen += len(docs)
             out: list[tuple] = []
-            for key, doc, text in zip(keys, docs, batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            for key, doc, ids in zip(keys, docs, encoder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
@@ -159,7 +175,8 @@ def _place(groups: int, window: int):
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, group_docs: int = GROUP_DOCS, keep_ids: bool = False) -> DataFrame:
     """Return one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids as little-endian bytes with ``keep_ids``).
 
-    A document is its ids plus ``end_id``; a null or empty text has that id alone.
+    A document is its ids plus ``end_id``; a null or empty text has that id alone, and the
+    literal of a special token in a text is that token.
     Repeated rows and equal or null doc_ids are packed as separate documents.
     sequence_ids are unique but may have gaps; an empty table gives no rows.
     """

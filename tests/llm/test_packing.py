@@ -5,23 +5,34 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from panelspark.llm import packing
 from panelspark.llm.packing import Encoder, SegmentTree, best_fit_decreasing, pack, vocabulary
 
 PATH = vocabulary()
+PLAIN = Tokenizer.from_file(PATH)
 
 
 def reference(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return PLAIN.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_tokenizer(odd_docs, small):
     encoder = Encoder(PATH)
     odd = ["", " ", "  a", "a  ", "a  b", "a \n b", "\u00a0x \u00a0 y", "x\x85y \x1c z", "it's we'll I'D", "<|endoftext|> a<|endoftext|>", "ein ßüber 12½ ³", "\u3000全角 空白", "a\u2003b  \u2003", "tab\t\ttab \t", "\U0001f600 \U0001f600\U0001f600", "é" * 200, "œuvre d'été"]
-    for text in odd + [r.text or "" for r in odd_docs.collect()] + [r.text for r in small.limit(60).collect()]:
-        for _ in range(2):  # cold and cached
-            assert np.frombuffer(encoder.ids(text), "<u4").tolist() == reference(text), text[:50]
+    texts = odd + [r.text or "" for r in odd_docs.collect()] + [r.text for r in small.limit(60).collect()]
+    for _ in range(2):  # cold and cached
+        for text, ids in zip(texts, encoder.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == reference(text), text[:50]
+    assert np.frombuffer(encoder.ids(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 5)
+    monkeypatch.setattr(packing, "CHUNK_CHARS", 30)
+    encoder = Encoder(PATH)
+    texts = [f"word{i % 7} and word{i % 3} " + "x" * (i % 60) for i in range(80)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [reference(t) for t in texts]
+    assert len(encoder.known) + len(encoder.old) < 40
 
 
 def brute_force(lengths, window):
