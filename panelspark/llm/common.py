@@ -5,9 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import os
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable
@@ -36,29 +34,34 @@ def text_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local master gets a temporary folder and any
-    other master a folder beside the warehouse.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there
-    if spark.sparkContext.master.startswith("local"):
-        return os.path.join(tempfile.gettempdir(), "checkpoints", "panelspark")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and is removed when the driver ends.
+    Cuts the lineage, survives lost executors, and is removed by ``discard`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that no later plan reads."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch_path)
+        _written[:] = [(s, p) for s, p in _written if p != df._scratch_path]
 
 
 def tidy(spark: SparkSession) -> None:
@@ -71,8 +74,7 @@ def tidy(spark: SparkSession) -> None:
 def _clean() -> None:
     for spark, path in _written:
         with contextlib.suppress(Exception):  # the session may be gone already
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
 
 
 def row_keys(start: int, n: int) -> pa.Array:
@@ -100,6 +102,11 @@ def slices(sizes: list[int], most: int):
         yield lo, len(sizes)
 
 
+def forget_worker_state() -> None:
+    """Free what earlier operators' tasks left in this worker process."""
+    sys.modules.pop("_panelspark_worker_state", None)
+
+
 def worker_state(key: str, make: Callable):
     """What ``make`` returned the first time in this worker process: tasks that a worker runs one after another share it."""
     own = sys.modules.setdefault("_panelspark_worker_state", types.ModuleType("_panelspark_worker_state")).__dict__

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import discard, scratch
 
 MOST_ROUNDS = 60
 
@@ -37,8 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
     table in the shared folder.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    for _ in range(MOST_ROUNDS):
-        edges = scratch(_small_star(_large_star(edges)), "edges")
+    for turn in range(MOST_ROUNDS):
+        before, edges = edges, scratch(_small_star(_large_star(edges)), "edges")
+        if turn:
+            discard(before)
         if _settled(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError("components did not settle")

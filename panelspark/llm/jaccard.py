@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, load, scratch, slices, text_batches, tidy
+from .common import as_bytes, discard, forget_worker_state, load, scratch, slices, text_batches, tidy
 from .components import components
 from .fingerprint import _tables
 from .words import mixed
@@ -39,7 +39,9 @@ FILTER_BITS, CELLS = 25, 256
 #: across components are expanded, and how many pairs a row may cost for that to come sooner.
 FIRST_HUBS, LATER_HUBS, HUB_ROUNDS, EXPAND = 2, 8, 2, 8
 #: Shingles before a list's that tell whether a pair has met before.
-LOOK_BACK = 16
+LOOK_BACK = 6
+#: Columns that hold one bit for each value of the hash's low ten bits: whether the set has such shingles; looked at in lists of more than LONG members.
+BITS, LONG = [f"bits{i}" for i in range(16)], 32
 #: Number of frequent shingles' first order key; all others' are below.
 _LAST = 1 << 62
 
@@ -97,7 +99,7 @@ def prefix(n: int) -> int:
     return n - -(-n * LINK_B // LINK_A) + 1
 
 
-_FIRST = [("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())]
+_FIRST = [("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), *((b, pa.int64()) for b in BITS), ("shingle", pa.int64()), ("times", pa.int64())]
 
 
 def cells_of(shingles: np.ndarray) -> bytes:
@@ -105,10 +107,20 @@ def cells_of(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
+def bits_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Each set's row of len(BITS) signed 64-bit numbers."""
+    size = 64 * len(BITS)
+    marks = np.zeros(len(sets) * size, bool)
+    for i, s in enumerate(sets):
+        marks[i * size + (s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks.reshape(len(sets), size), axis=1).view(np.int64)
+
+
 def _classify(n: int):
-    """(doc_id, text) to a row (doc_id, cls, n, cells) per text, and rows (shingle, times) for shingles frequent here."""
+    """(doc_id, text) to a row (doc_id, cls, n, cells, bits) per text, and rows (shingle, times) for shingles frequent here."""
 
     def run(batches):
+        forget_worker_state()
         held: dict[int, np.ndarray] = {}
         size = 0
 
@@ -117,12 +129,13 @@ def _classify(n: int):
             keep = times >= LEAST_FREQUENT
             m = int(keep.sum())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(m, t) for _, t in _FIRST[:4]] + [pa.array(values[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], [x for x, _ in _FIRST])
+            return pa.RecordBatch.from_arrays([pa.nulls(m, t) for _, t in _FIRST[:-2]] + [pa.array(values[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], [x for x, _ in _FIRST])
 
         for batch in batches:
             sets = shingle_sets(as_bytes(batch.column(1)), n)
             owners, m = [class_of(s) for s in sets], len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owners, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([cells_of(s) for s in sets], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], [x for x, _ in _FIRST])
+            cells = [cells_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owners, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.binary()), *(pa.array(np.ascontiguousarray(b)) for b in bits_of(sets).T), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], [x for x, _ in _FIRST])
             for own, s in zip(owners, sets, strict=True):
                 if own not in held:
                     held[own] = s
@@ -163,12 +176,12 @@ def order_keys(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _index(shared, n: int):
-    """(text) to (shingle, cls, pos) for the prefix of each class, once per worker; pos is the place in the whole set's order."""
+    """(text) to (shingle, cls, pos, n) for the prefix of each class, once per task; pos is the place in the whole set's order, n its size."""
 
     def run(batches):
         frequent, seen = shared.value, set()
         for batch in batches:
-            keys, owners, counts = [], [], []
+            keys, owners, counts, sizes = [], [], [], []
             for s in shingle_sets(as_bytes(batch.column(0)), n):
                 own = class_of(s)
                 if len(s) and own not in seen:
@@ -177,9 +190,11 @@ def _index(shared, n: int):
                     keys.append(first)
                     owners.append(own)
                     counts.append(len(first))
+                    sizes.append(len(s))
             flat = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
             places = np.concatenate([np.arange(c, dtype=np.int32) for c in counts]) if counts else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(places)], ["shingle", "cls", "pos"])
+            repeat = lambda x, kind: pa.array(np.repeat(np.array(x, kind), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), repeat(owners, np.int64), pa.array(places), repeat(sizes, np.int32)], ["shingle", "cls", "pos", "n"])
 
     return run
 
@@ -258,23 +273,27 @@ def _filter_words(members: DataFrame) -> np.ndarray:
     return words
 
 
-def _lists(docs: DataFrame, classes: DataFrame, frequent, shingle: int) -> DataFrame:
+def _lists(docs: DataFrame, frequent, shingle: int) -> DataFrame:
     """(shingle, cls, n, pos): the prefix shingles that at least two classes share."""
-    found = docs.select("text").mapInArrow(_index(docs.sparkSession.sparkContext.broadcast(frequent), shingle), "shingle long, cls long, pos int")
+    found = docs.select("text").mapInArrow(_index(docs.sparkSession.sparkContext.broadcast(frequent), shingle), "shingle long, cls long, pos int, n int")
     rare = found.where(F.col("shingle") < _LAST).repartition("shingle")
-    shared = rare.selectExpr("*", "min(cls) over (partition by shingle) as low", "max(cls) over (partition by shingle) as high").where("low <> high").select("shingle", "cls", "pos")
-    return shared.union(found.where(F.col("shingle") >= _LAST)).distinct().join(classes.select("cls", "n"), "cls").select("shingle", "cls", "n", "pos")
+    shared = rare.selectExpr("*", "min(cls) over (partition by shingle) as low", "max(cls) over (partition by shingle) as high").where("low <> high").select("shingle", "cls", "pos", "n")
+    return shared.union(found.where(F.col("shingle") >= _LAST)).distinct().select("shingle", "cls", F.col("n").cast("long").alias("n"), "pos")
 
 
 def _fits(a: str, b: str):
     return LINK_A * F.least(a, b) >= LINK_B * F.greatest(a, b)
 
 
-def _labelled(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists with their members' components; lists within one component are left out."""
-    own = index.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    open_ = own.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
-    return own.join(open_, "shingle")
+def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Lists with their members' components, the component that holds most of a list, and the list's size; lists within one component are left out."""
+    if labels is None:
+        own = index.withColumn("comp", F.col("cls"))
+    else:
+        own = index.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    held = own.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
+    lists = held.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    return own.join(lists.drop("comps"), "shingle")
 
 
 def _ordered(near: DataFrame) -> DataFrame:
@@ -301,15 +320,14 @@ def _hub_pairs(members: DataFrame, hubs_of: DataFrame, hubs: int, turn: int) ->
     return _ordered(near.where((F.col("comp_x") != F.col("comp_y")) & _fits("n_x", "n_y") & _room()))
 
 
-def _minor(index: DataFrame) -> DataFrame:
-    """Members of lists outside the component that holds most of the list, with that component and the list's size."""
-    held = index.groupBy("shingle", "comp").agg(F.count("*").alias("k"))
-    main = held.groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"))
-    return index.join(main, "shingle").where("comp <> main")
+def _likely() -> str:
+    """Whether enough overlap is left when no shingle counts whose bit is unset in the other set; null without bits."""
+    gone = lambda p, q: " + ".join(f"bit_count({b}_{p} & ~{b}_{q})" for b in BITS)
+    return f"{LINK_A + LINK_B} * least(n_x - ({gone('x', 'y')}), n_y - ({gone('y', 'x')})) >= {LINK_B} * (n_x + n_y)"
 
 
-def _cross_pairs(index: DataFrame) -> DataFrame:
-    """All pairs of a list's members across components that can link as far as the list tells.
+def _cross_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of a list's members across components that can link as far as the list and both sets' cells tell.
 
     One of a pair is outside the list's main component, so members of that are never
     paired with each other, not even to be thrown away.  A pair is left to an earlier
@@ -317,10 +335,12 @@ def _cross_pairs(index: DataFrame) -> DataFrame:
     list that it shares, what is left of both sets from there on bounds the overlap.
     """
     earlier = F.collect_list("shingle").over(Window.partitionBy("cls").orderBy("shingle").rowsBetween(-LOOK_BACK, -1))
-    index = index.withColumn("before", earlier)
-    both = _side(_minor(index), "x", "before").join(_side(index, "y", "before"), "shingle")
+    lists = lists.join(classes.select("cls", *BITS), "cls").withColumn("before", earlier)
+    lists = lists.withColumns({b: F.when(F.col("size") > LONG, F.col(b)) for b in BITS})
+    both = _side(lists.where("comp <> main"), "x", "before", *BITS).join(_side(lists, "y", "before", "main", *BITS), "shingle")
+    once = (F.col("comp_y") == F.col("main_y")) | (F.col("cls_x") < F.col("cls_y"))
     first = ~F.arrays_overlap("before_x", "before_y")
-    return _ordered(both.where((F.col("comp_x") != F.col("comp_y")) & _fits("n_x", "n_y") & _room() & first))
+    return _ordered(both.where((F.col("comp_x") != F.col("comp_y")) & once & _fits("n_x", "n_y") & _room() & F.coalesce(F.expr(_likely()), F.lit(True)) & first))
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -334,32 +354,30 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = scratch(docs.mapInArrow(_classify(shingle), "doc_id long, cls long, n long, cells binary, shingle long, times long"), "jaccard-classes")
-    rows = first.where("n is not null").select("doc_id", "cls", "n", "cells")
+    bits = "".join(f", {b} long" for b in BITS)
+    first = scratch(docs.mapInArrow(_classify(shingle), f"doc_id long, cls long, n long, cells binary{bits}, shingle long, times long"), "jaccard-classes")
+    rows = first.where("n is not null")
     frequent = _frequent(first.where("shingle is not null"))
-    classes = scratch(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-sizes")
-    index = scratch(_lists(docs, classes, frequent, shingle), "jaccard-index")
+    classes = scratch(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "cells", *BITS))), "jaccard-sizes")
+    index = scratch(_lists(docs, frequent, shingle), "jaccard-index")
     tidy(spark)
 
-    links = labels = parts = fetched = minor = None
+    links = labels = parts = fetched = None
     for turn in range(HUB_ROUNDS + 1):
         last = turn == HUB_ROUNDS
-        if turn:
-            open_ = scratch(_labelled(index, labels), "jaccard-open")
-            minor = scratch(_minor(open_), "jaccard-minor")
-            members, costs = open_.count(), minor.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        if turn or last:
+            lists = scratch(_labelled(index, labels), "jaccard-open")
+            members, costs = lists.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("comp") != F.col("main"), F.col("size"))), F.lit(0))).first()
             if not costs:
                 break
             last = last or costs <= EXPAND * members + 100_000
-            if last:
-                near = _cross_pairs(open_)
-            else:
-                inside = open_.join(minor.select("shingle", "main").distinct(), "shingle").where("comp = main")
-                near = _hub_pairs(minor, inside, LATER_HUBS, turn)
+            near = _cross_pairs(lists, classes) if last else _hub_pairs(lists.where("comp <> main"), lists.where("comp = main"), LATER_HUBS, turn)
         else:
-            whole = index.withColumn("comp", F.col("cls"))
-            near = _cross_pairs(whole) if last else _hub_pairs(whole, whole, FIRST_HUBS, turn)
+            lists = index.withColumn("comp", F.col("cls"))
+            near = _hub_pairs(lists, lists, FIRST_HUBS, turn)
         pairs = scratch(_candidates(near, classes), "jaccard-pairs")
+        if turn or last:
+            discard(lists)
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         needed = scratch(needed if fetched is None else needed.join(fetched, "cls", "left_anti"), "jaccard-needed")
         if not needed.isEmpty():
