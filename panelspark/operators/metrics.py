@@ -1089,7 +1089,7 @@ class event_around_return(_Event):
             n = int(r.n) if r is not None else 0
             each[k] = {"mean": None, "n": n} if n < 5 else {"mean": float(r.mean), "median": float(r.median), "p25": float(r.p25), "p75": float(r.p75), "hit_rate": float(r.hit_rate), "n": n}
         before = [abs(v["mean"]) for k, v in each.items() if k < 0 and v["mean"] is not None]
-        return MetricResult(float(np.mean(before)) if before else 0.0, metadata={"per_offset": each, "interpretation": "value = mean |pre-event return|; high = potential leakage"})
+        return MetricResult(float(np.mean(before)) if before else 0.0, metadata={"per_offset": each, "interpretation": "mean size of the average return before an event; a large one hints at leaks of the event"})
 
 
 def nearest(x: np.ndarray, q: float) -> float:

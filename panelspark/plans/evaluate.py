@@ -7,7 +7,6 @@ all signals of a cell, and the summaries of all metrics come back as one small t
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -332,6 +331,3 @@ def register(metric: type[Metric]) -> type[Metric]:
         raise UserInputError("register", "metric", metric, "a Metric subclass with a name of its own")
     REGISTRY[metric.__name__] = metric
     return metric
-
-
-Resolver = Callable[[str], type[Metric]]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.panel import bucketed, dates, long_panel, strided
@@ -18,7 +18,7 @@ from ..sources import datasets, testdata
 from ..sources.adapt import adapt as adapt_columns
 from . import evaluate as ev
 from . import families, slicing
-from .results import FRAME_SCHEMA
+from .results import FRAME_SCHEMA, number
 
 H = 3
 PLACES = 9
@@ -57,6 +57,13 @@ def _events(spark, sf_dir) -> DataFrame:
     return long_panel(pre.compute_forward_return(testdata.user_days(spark, sf_dir), 2, check=False).drop(pre.HORIZON), ["factor"])
 
 
+def _measured(spark, panel: DataFrame, h: int, **metrics: m.Metric) -> DataFrame:
+    """Value, statistic and number of observations that the metrics themselves report, by signal."""
+    found = ev.run_metrics(panel, metrics, ev.facts(panel, h), h)
+    rows = [(f, label, number(r.value), None if r.stat is None else round(float(r.stat), 6), r.n_obs) for (f, label), r in found.items()]
+    return spark.createDataFrame(rows, "factor_name string, metric string, value double, stat double, n_obs long")
+
+
 # --- SQL parts -------------------------------------------------------------------
 
 P1 = """lines AS (SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date, l_suppkey AS asset_id, CAST(round(l_extendedprice * 100) AS BIGINT) AS c,
@@ -166,28 +173,18 @@ def ic_per_date(spark, sf_dir):
 
 
 @query(IC + f""", x AS (SELECT *, row_number() OVER (PARTITION BY factor_name ORDER BY date) - 1 AS i FROM ic WHERE ic IS NOT NULL)
-SELECT factor_name, round(avg(ic), {PLACES}) AS mean_ic, round(avg(ic) / stddev_samp(ic), {PLACES}) AS ic_ir, round(avg(ic) FILTER (i % {H} = 0) / (stddev_samp(ic) FILTER (i % {H} = 0) / sqrt(count(ic) FILTER (i % {H} = 0))), {PLACES}) AS t_stat, count(*) AS n_periods FROM x GROUP BY ALL""")
+SELECT factor_name, 'ic' AS metric, round(avg(ic), {PLACES}) AS value, round(avg(ic) FILTER (i % {H} = 0) / (stddev_samp(ic) FILTER (i % {H} = 0) / sqrt(count(ic) FILTER (i % {H} = 0))), 6) AS stat, count(*) AS n_obs FROM x GROUP BY ALL
+UNION ALL SELECT factor_name, 'ic_ir', round(avg(ic) / stddev_samp(ic), {PLACES}), NULL, count(*) FROM x GROUP BY ALL""")
 def ic_summary(spark, sf_dir):
-    x = p.compute_ic(_long(spark, sf_dir)).where("ic is not null").withColumn("i", F.row_number().over(Window.partitionBy("factor_name").orderBy("date")) - 1)
-    own = F.when(F.col("i") % H == 0, F.col("ic"))
-    return x.groupBy("factor_name").agg(F.avg("ic").alias("mean_ic"), (F.avg("ic") / F.stddev_samp("ic")).alias("ic_ir"), (F.avg(own) / (F.stddev_samp(own) / F.sqrt(F.count(own)))).alias("t_stat"), F.count("*").alias("n_periods"))
+    return _measured(spark, _long(spark, sf_dir), H, ic=m.ic(), ic_ir=m.ic_ir())
 
 
 @query(IC + f""", x AS (SELECT factor_name, ic - avg(ic) OVER (PARTITION BY factor_name) AS d, ic, row_number() OVER (PARTITION BY factor_name ORDER BY date) AS i, count(*) OVER (PARTITION BY factor_name) AS n FROM ic WHERE ic IS NOT NULL),
 l AS (SELECT factor_name, any_value(n) AS n, greatest(1, greatest(2, CAST(floor(4 * pow(any_value(n) / 100.0, 2 / 9.0)) AS INTEGER))) AS lags, avg(ic) AS mean_ic FROM x GROUP BY ALL),
 g AS (SELECT a.factor_name, sum(a.d * b.d * CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (b.i - a.i) / (lags + 1.0)) END) / any_value(l.n) AS v FROM x a JOIN l ON a.factor_name = l.factor_name JOIN x b ON a.factor_name = b.factor_name AND b.i BETWEEN a.i AND a.i + lags GROUP BY ALL)
-SELECT factor_name, lags, round(mean_ic / sqrt(greatest(v, 0) / n), 6) AS t_stat FROM l JOIN g USING (factor_name)""")
+SELECT factor_name, 'ic' AS metric, round(mean_ic, {PLACES}) AS value, round(mean_ic / sqrt(greatest(v, 0) / n), 6) AS stat, n AS n_obs FROM l JOIN g USING (factor_name)""")
 def newey_west_ic(spark, sf_dir):
-    """The HAC t statistic by a lag join: for series too long for one worker."""
-    whole = Window.partitionBy("factor_name")
-    x = p.compute_ic(_long(spark, sf_dir)).where("ic is not null").select("factor_name", "ic", (F.col("ic") - F.avg("ic").over(whole)).alias("d"), F.row_number().over(whole.orderBy("date")).alias("i"), F.count("*").over(whole).alias("n"))
-    lags = x.groupBy("factor_name").agg(F.first("n").alias("n"), F.avg("ic").alias("mean_ic")).withColumn("lags", F.greatest(F.lit(1), F.lit(H - 1), F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2 / 9.0))).cast("int")))
-    a = x.select("factor_name", F.col("d").alias("da"), F.col("i").alias("ia")).join(lags, "factor_name")
-    a = a.withColumn("i", F.explode(F.sequence(F.col("ia"), F.col("ia") + F.col("lags"))))
-    pairs = a.join(x.select("factor_name", "i", "d"), ["factor_name", "i"])
-    weight = F.when(F.col("i") == F.col("ia"), 1.0).otherwise(2 * (1 - (F.col("i") - F.col("ia")) / (F.col("lags") + 1.0)))
-    v = pairs.groupBy("factor_name", "lags", "mean_ic", "n").agg((F.sum(F.col("da") * F.col("d") * weight) / F.first("n")).alias("v"))
-    return v.select("factor_name", "lags", F.round(F.col("mean_ic") / F.sqrt(F.greatest("v", F.lit(0.0)) / F.col("n")), 6).alias("t_stat"))
+    return _measured(spark, _long(spark, sf_dir), H, ic=m.ic(inference=m.NEWEY_WEST))
 
 
 @query(LONG + f", b AS (SELECT factor_name, date, covar_samp(factor, forward_return) / nullif(var_samp(factor), 0) AS beta, count(*) AS n_assets FROM panel GROUP BY ALL HAVING count(*) >= 3 AND var_samp(factor) > 0) SELECT factor_name, date, {_r('~beta')}, n_assets FROM b")
@@ -309,25 +306,22 @@ def corrado_rank_parts(spark, sf_dir):
     return m.corrado_rank().source(_events(spark, sf_dir), 2)
 
 
-@query(P4 + f""", s AS (SELECT factor_name, forward_return * sign(factor) AS x FROM panel WHERE factor <> 0)
-SELECT factor_name, count(*) AS n_events, count(*) FILTER (x > 0) AS n_hits, round(sum(x) FILTER (x > 0), {PLACES}) AS gains, round(abs(sum(x) FILTER (x < 0)), {PLACES}) AS losses, round(sum(x) FILTER (x > 0) / abs(sum(x) FILTER (x < 0)), 6) AS profit_factor, round(skewness(x), 6) AS skewness FROM s GROUP BY ALL""")
+@query(P4 + f""", s AS (SELECT factor_name, forward_return * sign(factor) AS x FROM panel WHERE factor <> 0), t AS (SELECT factor_name, count(*) AS n, count(*) FILTER (x > 0) AS hits, sum(x) FILTER (x > 0) / abs(sum(x) FILTER (x < 0)) AS pf, skewness(x) AS sk FROM s GROUP BY ALL)
+SELECT factor_name, 'hit_rate' AS metric, round(hits / n, {PLACES}) AS value, round((hits - n * 0.5::DOUBLE) / (sqrt(n) * 0.5), 6) AS stat, n AS n_obs FROM t UNION ALL SELECT factor_name, 'profit_factor', round(pf, 6), NULL, n FROM t UNION ALL SELECT factor_name, 'skewness', round(sk, 6), NULL, n FROM t""")
 def event_quality(spark, sf_dir):
-    x = F.col("signed")
-    n = F.count(F.lit(1)).cast("double")
-    gains, losses = F.sum(F.when(x > 0, x)), F.abs(F.sum(F.when(x < 0, x)))
-    return p.signed_returns(_events(spark, sf_dir)).groupBy("factor_name").agg(F.count("*").alias("n_events"), F.count(F.when(x > 0, 1)).alias("n_hits"), gains.alias("gains"), losses.alias("losses"), F.round(F.try_divide(gains, losses), 6).alias("profit_factor"), F.round(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2), 6).alias("skewness"))
+    found = _measured(spark, _events(spark, sf_dir), 2, hit_rate=m.event_hit_rate(), profit_factor=m.profit_factor(), skewness=m.event_skewness())
+    hit = F.col("metric") == "hit_rate"
+    return found.select("factor_name", "metric", F.when(hit, F.col("value")).otherwise(F.round("value", 6)).alias("value"), F.when(hit, F.col("stat")).alias("stat"), "n_obs")
 
 
-@query(P4 + f", a AS (SELECT factor_name, asset_id, count(*) AS bars, count(*) FILTER (factor <> 0) AS k FROM panel GROUP BY ALL) SELECT factor_name, round(avg(bars / k), {PLACES}) AS bars_per_event, count(*) AS n_assets FROM a WHERE k >= 2 GROUP BY ALL")
-def signal_density_parts(spark, sf_dir):
-    each = m.signal_density().source(_events(spark, sf_dir), 2).where("events >= 2")
-    return each.groupBy("factor_name").agg(F.avg(F.col("bars") / F.col("events")).alias("bars_per_event"), F.count("*").alias("n_assets"))
+@query(P4 + f", a AS (SELECT factor_name, asset_id, count(*) AS bars, count(*) FILTER (factor <> 0) AS k FROM panel GROUP BY ALL) SELECT factor_name, 'signal_density' AS metric, round(avg(bars / k) FILTER (k >= 2), {PLACES}) AS value, CAST(NULL AS DOUBLE) AS stat, CAST(sum(k) AS BIGINT) AS n_obs FROM a WHERE k > 0 GROUP BY ALL")
+def signal_density_value(spark, sf_dir):
+    return _measured(spark, _events(spark, sf_dir), 2, signal_density=m.signal_density())
 
 
-@query(P4 + f", d AS (SELECT factor_name, date, count(*) AS k FROM panel WHERE factor <> 0 GROUP BY ALL), t AS (SELECT factor_name, sum(k) AS n FROM d GROUP BY ALL) SELECT factor_name, round(sum((k / n) * (k / n)), {PLACES}) AS hhi, count(*) AS n_dates FROM d JOIN t USING (factor_name) GROUP BY ALL")
-def clustering_hhi_parts(spark, sf_dir):
-    each = m.clustering_hhi().source(_events(spark, sf_dir), 2).withColumn("share", F.col("events") / F.sum("events").over(Window.partitionBy("factor_name")))
-    return each.groupBy("factor_name").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"), F.count("*").alias("n_dates"))
+@query(P4 + f", d AS (SELECT factor_name, date, count(*) AS k FROM panel WHERE factor <> 0 GROUP BY ALL), t AS (SELECT factor_name, sum(k) AS n FROM d GROUP BY ALL) SELECT factor_name, 'clustering_hhi' AS metric, round(sum((k / n) * (k / n)), {PLACES}) AS value, CAST(NULL AS DOUBLE) AS stat, CAST(any_value(n) AS BIGINT) AS n_obs FROM d JOIN t USING (factor_name) GROUP BY ALL")
+def clustering_hhi_value(spark, sf_dir):
+    return _measured(spark, _events(spark, sf_dir), 2, clustering_hhi=m.clustering_hhi())
 
 
 # --- common signals and pooled regression ---------------------------------------------
@@ -347,29 +341,29 @@ def rolling_common_beta(spark, sf_dir):
 @query(LONG + """, o AS (SELECT factor_name, count(*) AS n, sum(factor) AS sx, sum(factor * factor) AS sxx, covar_samp(factor, forward_return) / var_samp(factor) AS slope, avg(forward_return) - covar_samp(factor, forward_return) / var_samp(factor) * avg(factor) AS a FROM panel GROUP BY ALL),
 e AS (SELECT factor_name, date, sum(forward_return - a - slope * factor) AS s0, sum((forward_return - a - slope * factor) * factor) AS s1 FROM panel JOIN o USING (factor_name) GROUP BY ALL),
 t AS (SELECT factor_name, count(*) AS g, sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s1 * s1) AS m11 FROM e GROUP BY ALL)
-SELECT factor_name, g AS n_clusters, round(slope, 9) AS slope, round(sqrt((n - 1) / (n - 2) * g / (g - 1) * (sx * sx * m00 - 2 * n * sx * m01 + n * n * m11)) / (n * sxx - sx * sx), 9) AS se FROM o JOIN t USING (factor_name)""")
+SELECT factor_name, 'pooled_beta' AS metric, round(slope, 9) AS value, round(slope / (sqrt((n - 1) / (n - 2) * g / (g - 1) * (sx * sx * m00 - 2 * n * sx * m01 + n * n * m11)) / (n * sxx - sx * sx)), 6) AS stat, n AS n_obs FROM o JOIN t USING (factor_name)""")
 def pooled_beta_clustered(spark, sf_dir):
-    s = p.cluster_scores(_long(spark, sf_dir), ["date"])
-    t = s.groupBy("factor_name").agg(F.count("*").alias("n_clusters"), *(F.first(c).alias(c) for c in ("n", "sx", "sxx", "slope")), F.sum(F.col("s0") * F.col("s0")).alias("m00"), F.sum(F.col("s0") * F.col("s1")).alias("m01"), F.sum(F.col("s1") * F.col("s1")).alias("m11"))
-    meat = F.expr("sx * sx * m00 - 2 * n * sx * m01 + n * n * m11")
-    return t.select("factor_name", "n_clusters", "slope", (F.sqrt(F.expr("(n - 1) / (n - 2) * n_clusters / (n_clusters - 1)") * meat) / F.expr("n * sxx - sx * sx")).alias("se"))
+    return _measured(spark, _long(spark, sf_dir), H, pooled_beta=m.pooled_beta())
 
 
 @query(f"""WITH lines AS (SELECT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, CAST(round(l_quantity) AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS d FROM lineitem),
-p3 AS (SELECT date, 0 AS asset_id, CAST(sum(c) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS price, CAST(sum(d) AS DOUBLE) / count(*) AS factor FROM lines GROUP BY date), {_returns('p3', 'fr3', H)}
-SELECT 'factor' AS factor_name, count(*) AS n, round(covar_samp(factor, forward_return) / var_samp(factor), 9) AS beta, round(avg(forward_return) - covar_samp(factor, forward_return) / var_samp(factor) * avg(factor), 9) AS alpha FROM fr3""")
+p3 AS (SELECT date, 0 AS asset_id, CAST(sum(c) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS price, CAST(sum(d) AS DOUBLE) / count(*) AS factor FROM lines GROUP BY date), {_returns('p3', 'fr3', H)}, o AS (SELECT count(*) AS n, avg(factor) AS mx, avg(forward_return) AS my, covar_samp(factor, forward_return) / var_samp(factor) AS beta, var_pop(factor) * count(*) AS sxx, greatest({H - 1}, 1, CAST(floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS INTEGER)) AS lags FROM fr3),
+sc AS (SELECT row_number() OVER (ORDER BY date) AS i, (factor - mx) * (forward_return - my - beta * (factor - mx)) AS s FROM fr3, o),
+v AS (SELECT sum(a.s * b.s * CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (b.i - a.i) / (lags + 1.0::DOUBLE)) END) AS meat FROM o, sc a JOIN sc b ON b.i BETWEEN a.i AND a.i + (SELECT lags FROM o))
+SELECT 'factor' AS factor_name, 'predictive_beta' AS metric, round(beta, 9) AS value, round(beta / (sqrt(meat) / sxx), 6) AS stat, n AS n_obs FROM o, v""")
 def predictive_regression(spark, sf_dir):
     panel = long_panel(pre.compute_forward_return(testdata.single_months(spark, sf_dir), H, check=False).drop(pre.HORIZON), ["factor"])
-    s = m.predictive_beta().source(panel, H)
-    slope = F.covar_samp("factor", "forward_return") / F.var_samp("factor")
-    return s.groupBy("factor_name").agg(F.count("*").alias("n"), slope.alias("beta"), (F.avg("forward_return") - slope * F.avg("factor")).alias("alpha"))
+    return _measured(spark, panel, H, predictive_beta=m.predictive_beta())
 
 
-@query(IC + f""", x AS (SELECT factor_name, ic, row_number() OVER (PARTITION BY factor_name ORDER BY date) - 1 AS i FROM ic WHERE ic IS NOT NULL), s AS (SELECT a.factor_name, (b.ic - a.ic) / (b.i - a.i) AS slope FROM x a JOIN x b ON a.factor_name = b.factor_name AND a.i < b.i) SELECT factor_name, round(median(slope), {PLACES}) AS slope, count(*) AS n_pairs FROM s GROUP BY ALL""")
+@query(IC + f""", x AS (SELECT factor_name, ic, row_number() OVER (PARTITION BY factor_name ORDER BY date) - 1 AS i FROM ic WHERE ic IS NOT NULL), s AS (SELECT a.factor_name, (b.ic - a.ic) / (b.i - a.i) AS slope FROM x a JOIN x b ON a.factor_name = b.factor_name AND a.i < b.i),
+k AS (SELECT factor_name, sum(c * (c - 1) * (2 * c + 5)) AS tied, sum(c) AS n FROM (SELECT factor_name, ic, count(*) AS c FROM x GROUP BY ALL) GROUP BY ALL),
+o AS (SELECT factor_name, median(slope) AS slope, list_sort(list(slope)) AS l, count(*) AS cnt FROM s GROUP BY ALL),
+r AS (SELECT *, 1.959963984540054 * sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18.0::DOUBLE) AS reach FROM o JOIN k USING (factor_name)),
+ends AS (SELECT *, l[least(CAST(round_even((cnt + reach) / 2, 0) AS INTEGER), cnt - 1) + 1] AS high, l[greatest(CAST(round_even((cnt - reach) / 2, 0) AS INTEGER) - 1, 0) + 1] AS low FROM r)
+SELECT factor_name, 'ic_trend' AS metric, round(slope, {PLACES}) AS value, round(slope / ((high - low) / 2 / 1.96), 6) AS stat, CAST(n AS BIGINT) AS n_obs FROM ends""")
 def ic_trend_slope(spark, sf_dir):
-    x = p.compute_ic(_long(spark, sf_dir)).where("ic is not null").select("factor_name", "ic", (F.row_number().over(Window.partitionBy("factor_name").orderBy("date")) - 1).alias("i"))
-    pairs = x.join(x.select("factor_name", F.col("ic").alias("ic2"), F.col("i").alias("j")), "factor_name").where("i < j")
-    return pairs.groupBy("factor_name").agg(F.median((F.col("ic2") - F.col("ic")) / (F.col("j") - F.col("i"))).alias("slope"), F.count("*").alias("n_pairs"))
+    return _measured(spark, _long(spark, sf_dir), H, ic_trend=m.ic_trend())
 
 
 # --- slices ------------------------------------------------------------------------
