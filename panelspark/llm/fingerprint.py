@@ -11,6 +11,8 @@ counts as a name of its own), whose overlap estimates the Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,7 @@ from pyspark.sql import functions as F
 from .common import load, slices, text_batches
 from .words import BASE, mixed
 
-SKETCH, LEVELS, FIRST = 48, 5, 2
-#: Texts of fewer bytes also give the names of level 1, where phrases have two or three bytes.
-SHORT = 160
+SKETCH, LEVELS, FIRST = 48, 5, 1
 #: Bytes parsed at a time, and rows that a range of documents holds on average.
 CHUNK_BYTES, RANGE_ROWS = 1_000_000, 8_000
 MOST_RANGES = 20_000
@@ -119,7 +119,7 @@ def counted(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted phrase names of each text, with multiplicity, at levels FIRST..LEVELS (of a short text: 1..LEVELS), and of the whole text."""
+    """The sorted phrase names of each text, with multiplicity, at levels FIRST..LEVELS, and of the whole text."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
     whole = np.cumsum(sizes) - sizes
@@ -134,9 +134,8 @@ def signatures(texts: list[bytes]) -> list[np.ndarray]:
         begin = np.flatnonzero(boundaries(symbols, first))
         symbols = names(symbols, begin)
         first = np.searchsorted(begin, first)
-        levelled = np.split(mixed(symbols + np.uint64(level)), first[1:])
-        for i, own in zip(filled, levelled, strict=True):
-            if level >= FIRST or sizes[i] < SHORT:
+        if level >= FIRST:
+            for i, own in zip(filled, np.split(mixed(symbols + np.uint64(level)), first[1:]), strict=True):
                 out[i].append(own)
     return [counted(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in out]
 
@@ -150,13 +149,13 @@ def sketches(texts: list[bytes]) -> list[bytes]:
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity: the part of the bottom k of both sketches' union that both hold.  Equal sketches are alike."""
+    """Estimated Jaccard similarity: the part of the bottom SKETCH of both sketches' union that both hold (of the whole union, if neither is full, when it is exact).  Equal sketches are alike."""
     if a == b:
         return 1.0
     x, y = (set(np.frombuffer(s, ">u4").tolist()) for s in (a, b))
     if not x or not y:
         return 0.0
-    lowest = sorted(x | y)[: min(SKETCH, max(len(x), len(y)))]
+    lowest = sorted(x | y)[: SKETCH if max(len(x), len(y)) >= SKETCH else None]
     return sum(s in x and s in y for s in lowest) / len(lowest)
 
 
@@ -171,7 +170,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-_RANGED = [("part", pa.int32()), ("extra", pa.bool_()), ("place", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary()), ("sketch", pa.binary())]
+_RANGED = [("part", pa.int32()), ("extra", pa.bool_()), ("place", pa.int64()), ("hash", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.binary()), ("sketch", pa.binary())]
 _OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
 
@@ -180,33 +179,57 @@ def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _heads(cuts: list[int]):
-    """Places to (range, least place), per batch."""
+def cuts_of(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Where ranges begin, as (place, hash): a place that is several quantiles is cut evenly by hash."""
+    return sorted((v, -(2**63) + j * (2**64 // k)) for v, k in Counter(quantiles).items() for j in range(k))
+
+
+def parts_of(place: np.ndarray, hashes: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """The range of each (place, hash): how many cuts are at or before it."""
+    at = np.array([p for p, _ in cuts], np.int64)
+    low, part = np.searchsorted(at, place, "left"), np.searchsorted(at, place, "right")
+    for i in np.flatnonzero(low < part):
+        part[i] = bisect_right(cuts, (int(place[i]), int(hashes[i])), int(low[i]), int(part[i]))
+    return part
+
+
+def _heads(cuts: list[tuple[int, int]]):
+    """(place, hash) to (range, least place, least hash there), per batch."""
 
     def run(batches):
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            part = np.searchsorted(np.array(cuts, np.int64), place, "right")
-            yield _batch([(int(p), int(place[part == p].min())) for p in np.unique(part)], [("part", pa.int32()), ("place", pa.int64())])
+            place, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((hashes, place))
+            part = parts_of(place[order], hashes[order], cuts)
+            _, first = np.unique(part, return_index=True)
+            yield _batch([(int(part[i]), int(place[order[i]]), int(hashes[order[i]])) for i in first], [("part", pa.int32()), ("place", pa.int64()), ("hash", pa.int64())])
 
     return run
 
 
-def _spread(cuts: list[int], heads: dict[int, int]):
-    """(place, doc_id, text) to ranged rows with compressed texts.  A document that begins a range also goes to the range before, as its extra row."""
+def _slots(spark, n: int) -> list[int]:
+    """For each of n ranges a number of its own that Spark's hash deals to the partition of that number, so that no two ranges share one."""
+    number = F.col("id").cast("int")
+    found = dict(spark.range(32 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("to")).agg(F.min(number).alias("number")).collect())
+    spare = iter(range(32 * n, 33 * n))
+    return [found[i] if i in found else next(spare) for i in range(n)]
+
+
+def _spread(cuts: list[tuple[int, int]], heads: dict[tuple[int, int], int], slots: list[int]):
+    """(place, hash, doc_id, text) to ranged rows with compressed texts.  A document that begins a range also goes to the range before, as its extra row (once per task)."""
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze, given = zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            parts = np.searchsorted(np.array(cuts, np.int64), place, "right").tolist()
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            place, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = [t or b"" for t in batch.column(3).cast(pa.binary()).to_pylist()]
             out = []
-            for part, at, doc, text, sketch in zip(parts, place.tolist(), batch.column(1).to_pylist(), texts, sketches(texts), strict=True):
-                row = (at, doc, squeeze(text), sketch)
-                out.append((part, False, *row))
-                if at in heads:
-                    out.append((heads[at], True, *row))
+            for part, at, key, doc, text, sketch in zip(parts_of(place, hashes, cuts).tolist(), place.tolist(), hashes.tolist(), batch.column(2).to_pylist(), texts, sketches(texts), strict=True):
+                row = (at, key, doc, squeeze(text), sketch)
+                out.append((slots[part], False, *row))
+                if (at, key) in heads and (at, key) not in given:
+                    given.add((at, key))
+                    out.append((slots[heads[at, key]], True, *row))
             yield _batch(out, _RANGED)
 
     return run
@@ -218,7 +241,7 @@ def _edit(batches):
     waiting: tuple | None = None
     for batch in batches:
         rows = []
-        for part, extra, _, doc, packed, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, extra, _, _, doc, packed, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = open_(packed).decode()
             if waiting and waiting[0] == part:
                 own = waiting[2]
@@ -239,18 +262,19 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     text; after the last comes the first.  A null text is empty; an empty text or
     one of under four characters is not changed.  An empty table gives no rows.
     Rows are dealt to ranges of ids (cut at approximate quantiles, the only thing the
-    driver gathers), sorted there and read in one pass.
+    driver gathers; an id with many rows is cut by the texts' hashes), one range a
+    partition, sorted there and read in one pass.  Beyond MOST_RANGES, ranges grow.
     """
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    docs = text_batches(docs).select(place.alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = text_batches(docs).select(place.alias("place"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     ranges = min(MOST_RANGES, docs.count() // range_rows + 1)
-    cuts: list[int] = []
-    if ranges > 1:
-        cuts = sorted(set(docs.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]))
-    found = docs.select("place").mapInArrow(_heads(cuts), "part int, place long").groupBy("part").agg(F.min("place").alias("place")).orderBy("part").collect()
-    heads = {r.place: found[i - 1].part for i, r in enumerate(found)}
-    ranged = docs.mapInArrow(_spread(cuts, heads), "part int, extra boolean, place long, doc_id long, packed binary, sketch binary")
-    ordered = ranged.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "extra", "place", F.xxhash64("packed"))
+    cuts = cuts_of(docs.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]) if ranges > 1 else []
+    found = docs.select("place", "hash").mapInArrow(_heads(cuts), "part int, place long, hash long").groupBy("part").agg(F.min(F.struct("place", "hash")).alias("head")).orderBy("part").collect()
+    heads = {tuple(r.head): found[i - 1].part for i, r in enumerate(found)}
+    slots = _slots(spark, len(cuts) + 1)
+    ranged = docs.mapInArrow(_spread(cuts, heads, slots), "part int, extra boolean, place long, hash long, doc_id long, packed binary, sketch binary")
+    ordered = ranged.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", "extra", "place", "hash")
     return ordered.mapInArrow(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
