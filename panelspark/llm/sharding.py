@@ -43,24 +43,26 @@ def permute(x: Column, n: Column, a: Column, b: Column, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
 
 
-def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_rows: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_rows: int = 50_000, chunk_rows: int = 10_000) -> DataFrame:
     """Return (doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``.
 
     size is the text's UTF-8 bytes (null: none) plus 8.  The order behind the row
-    numbers is (bucket, doc_id, crc32, size); rows equal in all of these are
-    interchangeable, share one aggregated row until the last step, and get
-    different slots.  A null text counts as empty, a null doc_id is a value like
+    numbers is (bucket, doc_id, crc32, size, chunk); rows equal in doc_id, crc32 and
+    size are interchangeable, share aggregated rows of up to ``chunk_rows`` copies
+    until the last step, each in a bucket of its own, and get different slots.  A null text counts as empty, a null doc_id is a value like
     any other, an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = (
         docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.count("*").alias("all"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / chunk_rows))))
+        .select("doc_id", "size", "text_crc32", "chunk", F.least(F.lit(chunk_rows), F.col("all") - F.col("chunk") * chunk_rows).alias("copies"))
     )
     rows = scratch(rows, "shard-rows")
     buckets = int(min(MOST_BUCKETS, max(1, rows.count() // bucket_rows + 1)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "chunk"), F.lit(buckets)))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = (
@@ -70,7 +72,7 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
         .withColumn("a", F.ceil(F.sqrt("n")))
         .withColumn("b", F.ceil(F.col("n") / F.col("a")))
     )
-    within = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
         rows.withColumn("before", F.coalesce(F.sum("copies").over(within), F.lit(0)))
         .join(F.broadcast(offsets), "bucket")

@@ -45,6 +45,12 @@ def test_odd_rows(odd_docs, no_docs):
     assert shard(no_docs, 5).collect() == []
 
 
+def test_many_copies_are_split(spark):
+    docs = [(None, None)] * 57 + [(1, "a")] * 20 + [(2, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(shard(df, 5, bucket_rows=2, chunk_rows=8).collect(), 5, docs)
+
+
 def test_no_python_on_executors(small):
     plan = shard(small, 24)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
