@@ -9,6 +9,7 @@ rows per language, so the model has a fixed size for each language.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .words import gram_buckets, joined
 BITS, ORDERS = 16, (1, 2, 3, 4)
 #: Bound of the training sample: about so many labelled rows per language.
 TRAIN_ROWS = 2_000
+#: Labels learned at the most, those with most rows: a model of 512 is 270 MB.
+MOST_LANGS = 512
 SWITCH, UNLIKELY, SMOOTHING = 18.0, -30.0, 0.5
 #: Word types kept by a worker, and bytes of text handled at a time.
 CACHED, CHUNK_BYTES = 200_000, 2_000_000
@@ -215,30 +218,32 @@ def _count(batches):
             grams, scripts = tables.setdefault(lang, (np.zeros(1 << BITS), np.zeros(len(NAMES))))
             for at in gram_buckets(joined(words, b"^", b"$")[0], ORDERS, BITS):
                 np.add.at(grams, at, 1)
-            for w in words[:: max(1, len(words) // 200)]:
+            for w, n in Counter(words).items():
                 if (k := script(w)) >= 0:
-                    scripts[k] += 1
+                    scripts[k] += n
     for lang, both in tables.items():
         for kind, table in enumerate(both):
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(table[at], pa.float64())], ["lang", "kind", "at", "n"])
 
 
-def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, n-gram counts, script counts) from about ``train_rows`` rows of each language, chosen by the text's hash.
+def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, n-gram counts, script counts) from about ``train_rows`` rows of each language, chosen by a hash of id and text.
 
-    Rows without a language or a text are left out.  What reaches the driver is
-    bounded by the number of languages times the number of buckets.
+    Rows without a language or a text are left out, and so are labels beyond the
+    ``most_langs`` with most rows (ties by name).  What reaches the driver is bounded
+    by the number of languages times the number of buckets.
     """
-    rows = text_batches(rows).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    share = {r.lang: min(1.0, train_rows / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("key")
+    rows = text_batches(rows).select(key, F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    share = {r.lang: min(1.0, train_rows / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(share)
     counts, scripts = np.zeros((len(langs), 1 << BITS)), np.zeros((len(langs), len(NAMES)))
     if not langs:
         return langs, counts, scripts
     limit = F.from_json(F.lit(json.dumps(share)), "map<string,double>")
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("lang")] * 1_000_000)
-    found = sample.mapInArrow(_count, "lang string, kind int, at int, n double").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    sample = rows.where(F.pmod("key", F.lit(1_000_000)) < limit[F.col("lang")] * 1_000_000)
+    found = sample.select("lang", "text").mapInArrow(_count, "lang string, kind int, at int, n double").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
     row = {x: i for i, x in enumerate(langs)}
     at_lang = np.array([row[x] for x in found.column("lang").to_pylist()], np.int64)
     kind, at, n = (found.column(c).to_numpy() for c in ("kind", "at", "n"))

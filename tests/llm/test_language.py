@@ -62,5 +62,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and (letters or (r.score == 0.0 and r.spans == []))
     assert identify(no_docs, model, keep, schema).collect() == []
+    assert train(odd_docs, most_langs=1)[0] in (["en"], ["fr"])
     empty = train(no_docs)
     assert empty[0] == [] and {r.lang_pred for r in identify(odd_docs, empty, keep, schema).collect()} == {"und"}
