@@ -401,7 +401,7 @@ class pooled_beta(Metric):
         return Threshold(min_pairs=10, min_periods=3, warn_periods=30)
 
     def source(self, panel, h):
-        return p.cluster_scores(panel, [self.cluster_col] + [x for x in [self.two_way_cluster_col] if x])
+        return p.cluster_scores(panel, [self.cluster_col] + [x for x in [self.two_way_cluster_col] if x], summed=not self.driscoll_kraay)
 
     def summarise(self, s, c):
         if self.driscoll_kraay and self.two_way_cluster_col:
@@ -415,15 +415,16 @@ class pooled_beta(Metric):
         except np.linalg.LinAlgError:
             return short("singular_pooled_design_matrix", n=n, axis="pairs")
 
-        def scores(axis):
-            own = s[s["axis"] == axis].sort_values("cluster")[["s0", "s1"]].to_numpy(float)
-            return own, len(own)
+        def meat(axis):
+            own = s[s["axis"] == axis].iloc[0]
+            return np.array([[own.m00, own.m01], [own.m01, own.m11]]), int(own.g)
 
         def low(reason, g, least=3, **extra):
             return MetricResult(slope, 1.0, "two-sided", n, "pairs", None, {"reason": reason, "min_required": least, **extra})
 
-        a, ga = scores(self.cluster_col)
         if self.driscoll_kraay:
+            a = s.sort_values("cluster")[["s0", "s1"]].to_numpy(float)
+            ga = len(a)
             lags = max(0, min(st.auto_lags(ga) if self.driscoll_kraay_lags is None else self.driscoll_kraay_lags, ga - 1))
             if ga < 3:
                 return low("insufficient_periods", ga, n_periods=ga)
@@ -431,18 +432,19 @@ class pooled_beta(Metric):
             t = 0.0 if se < EPSILON else slope / se
             meta = {"stat_type": "t", "h0": "beta=0", "method": f"Pooled OLS + Driscoll-Kraay (1998) SE ({self.cluster_col})", "se_method": "driscoll_kraay", "n_periods": ga, "driscoll_kraay_lags": lags}
             return MetricResult(slope, st.t_p(t, ga), "two-sided", n, "pairs", t, meta, tuple(["unreliable_se_short_periods"] * (ga < 30)))
-        one = ga / max(ga - 1, 1) * (a.T @ a)
+        a, ga = meat(self.cluster_col)
+        one = ga / max(ga - 1, 1) * a
         small = (n - 1) / (n - 2)
-        variance = lambda meat: float((small * inverse @ meat @ inverse)[1, 1])
+        variance = lambda x: float((small * inverse @ x @ inverse)[1, 1])
         if self.two_way_cluster_col is None:
             if ga < 3:
                 return low("insufficient_clusters", ga, n_clusters=ga)
             v, g, meta, how = variance(one), ga, {"n_clusters": ga}, f"clustered SE ({self.cluster_col})"
         else:
-            (b, gb), (i, gi) = scores(self.two_way_cluster_col), scores("both")
+            (b, gb), (i, gi) = meat(self.two_way_cluster_col), meat("both")
             if min(ga, gb) < 3:
                 return low("insufficient_clusters", min(ga, gb), n_clusters=min(ga, gb), n_clusters_a=ga, n_clusters_b=gb)
-            v = variance(one + gb / (gb - 1) * (b.T @ b) - gi / max(gi - 1, 1) * (i.T @ i))
+            v = variance(one + gb / (gb - 1) * b - gi / max(gi - 1, 1) * i)
             g, meta, how = min(ga, gb), {"n_clusters_a": ga, "n_clusters_b": gb, "n_clusters_intersection": gi}, f"two-way clustered SE ({self.cluster_col}, {self.two_way_cluster_col})"
             if v < 0:
                 v, meta["variance_non_psd_fallback"] = variance(one), f"one_way_{self.cluster_col}"

@@ -1,21 +1,24 @@
 """Panel to series: one row per signal and date, asset or event, for all signals in one plan.
 
-Inputs are long panels (``functions.panel.long_panel``).  Nothing here runs Python on
-the executors or collects; a date's or an asset's rows are the largest unit that a
-window needs together.
+Inputs are long panels (``functions.panel.long_panel``).  Nothing here collects, and only
+the count of ordered pairs runs Python on the executors; a date's or an asset's rows are
+the largest unit that a window needs together.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import pair_counts
 from ..functions.panel import BY_ASSET, BY_DATE, EPSILON, bucketed, dates, finite, mean_rank, moments, order_rank, rank_correlation, strided, tie_columns, together
 
 MIN_IC_ASSETS, MIN_FM_ASSETS, MIN_COMMON_PERIODS, MIN_ROLLING_PAIRS = 2, 3, 20, 10
 OFFSETS = (-6, -3, -1, 1, 6, 12, 24)
+PAIR_COUNTS = ("raw_pairs", "correct", "incorrect", "factor_ties", "return_ties", "both_ties")
 
 
 def _complete(panel: DataFrame, return_col: str) -> DataFrame:
@@ -146,18 +149,20 @@ def concentration_series(panel: DataFrame, forward_periods: int = 5, q_top: floa
 def pair_accuracy_series(panel: DataFrame, forward_periods: int = 5, return_col: str = "forward_return") -> DataFrame:
     """Concordance of signal and return over all pairs of a sampled date, ties within 1e-9 left out.
 
-    The pairs are part of the definition: a date's n(n - 1) / 2 pairs are counted by a
-    join within the date and reduced there; they are never kept.
+    Pairs are never made: a date's cross-section of n rows goes to one Python group, in
+    Arrow batches, and its six counts take n log n.  Rows without an order (not a
+    number) drop out, as do dates of a single row.
     """
-    rows = _complete(strided(panel, forward_periods), return_col).select(*BY_DATE, "asset_id", "factor", F.col(return_col).alias("ret"))
-    other = rows.select(*BY_DATE, F.col("asset_id").alias("b"), F.col("factor").alias("fb"), F.col("ret").alias("rb"))
-    pairs = rows.join(other, list(BY_DATE)).where(F.col("asset_id") < F.col("b"))
-    df, dr = F.col("factor") - F.col("fb"), F.col("ret") - F.col("rb")
-    ft, rt = F.abs(df) <= EPSILON, F.abs(dr) <= EPSILON
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return pairs.groupBy(*BY_DATE).agg(
-        F.count(F.lit(1)).alias("raw_pairs"), count(~ft & ~rt & (df * dr > 0)).alias("correct"), count(~ft & ~rt & (df * dr < 0)).alias("incorrect"), count(ft).alias("factor_ties"), count(rt).alias("return_ties"), count(ft & rt).alias("both_ties")
-    )
+    x, y = F.col("factor"), F.col(return_col)
+    rows = _complete(strided(panel, forward_periods), return_col).where(~F.isnan(x) & ~F.isnan(y)).select(*BY_DATE, x, y.alias("ret"))
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 2:
+            return pd.DataFrame()
+        return pd.DataFrame([{"factor_name": key[0], "date": key[1], **pair_counts(pdf["factor"].to_numpy(float), pdf["ret"].to_numpy(float), EPSILON)}])
+
+    date_type = panel.schema["date"].dataType.simpleString()
+    return rows.groupBy(*BY_DATE).applyInPandas(count, f"factor_name string, date {date_type}, " + ", ".join(f"{c} long" for c in PAIR_COUNTS))
 
 
 def directional_series(panel: DataFrame, forward_periods: int = 5, return_col: str = "forward_return") -> DataFrame:
@@ -315,18 +320,25 @@ def compute_rolling_common_beta(panel: DataFrame, window: int = 60, return_col:
     return found.groupBy("factor_name", "date_ordinal").agg(F.avg(beta).alias("value")).join(calendar, ["factor_name", "date_ordinal"]).select("factor_name", "date", "value")
 
 
-def cluster_scores(panel: DataFrame, clusters: list[str], return_col: str = "forward_return") -> DataFrame:
+def cluster_scores(panel: DataFrame, clusters: list[str], return_col: str = "forward_return", summed: bool = False) -> DataFrame:
     """Pooled regression by moments, then sums of residual scores per cluster: one row per signal and cluster.
 
-    Carries the pooled moments on each row, so a series of the number of clusters is
-    all that leaves the panel.
+    ``summed`` adds up the products of the scores over clusters as well, so that one row
+    per axis leaves (g clusters, m00, m01, m11), however fine the clusters are.  Every
+    row carries the pooled moments.
     """
     rows = _complete(panel, return_col)
     pooled = rows.groupBy("factor_name").agg(*moments("factor", return_col), F.sum("factor").alias("sx"), F.sum(F.col("factor") * F.col("factor")).alias("sxx"))
     pooled = pooled.withColumn("slope", F.when(F.col("vx") > 0, F.col("cxy") / F.when(F.col("vx") > 0, F.col("vx"))).otherwise(0.0)).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
     resid = rows.join(F.broadcast(pooled), "factor_name").withColumn("e", F.col(return_col) - F.col("intercept") - F.col("slope") * F.col("factor"))
     whole = ["n", "sx", "sxx", "slope"]
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
     parts = []
     for axis, keys in [(c, [c]) for c in clusters] + ([("both", clusters)] if len(clusters) > 1 else []):
-        parts.append(resid.groupBy("factor_name", *keys).agg(F.sum("e").alias("s0"), F.sum(F.col("e") * F.col("factor")).alias("s1"), *(F.first(w).alias(w) for w in whole)).select("factor_name", F.lit(axis).alias("axis"), F.col(keys[0]).cast("string").alias("cluster"), "s0", "s1", *whole))
+        each = resid.groupBy("factor_name", *keys).agg(F.sum("e").alias("s0"), F.sum(F.col("e") * F.col("factor")).alias("s1"), *(F.first(w).alias(w) for w in whole))
+        if summed:
+            each = each.groupBy("factor_name").agg(F.count(F.lit(1)).alias("g"), product("s0", "s0").alias("m00"), product("s0", "s1").alias("m01"), product("s1", "s1").alias("m11"), *(F.first(w).alias(w) for w in whole))
+            parts.append(each.select("factor_name", F.lit(axis).alias("axis"), "g", "m00", "m01", "m11", *whole))
+        else:
+            parts.append(each.select("factor_name", F.lit(axis).alias("axis"), F.col(keys[0]).cast("string").alias("cluster"), "s0", "s1", *whole))
     return reduce(DataFrame.unionByName, parts)

@@ -39,7 +39,6 @@ class Facts:
     zero_ratio: float
     max_distinct_per_date: int
     n_distinct: int
-    distinct_magnitudes: int
     constant_magnitude: bool
 
     @property
@@ -61,13 +60,15 @@ def facts(panel: DataFrame, h: int) -> dict[str, Facts]:
         F.count(F.when(x == 0, 1)).alias("zeros"),
         F.count(x).alias("valid"),
         F.approx_count_distinct(x).alias("n_distinct"),
-        F.approx_count_distinct(F.when(x != 0, F.abs(x))).alias("magnitudes"),
         (F.max(F.when(x != 0, F.abs(x))) - F.min(F.when(x != 0, F.abs(x)))).alias("magnitude_range"),
     )
+    found = whole.join(per_date, "factor_name").collect()
+    few = [r.factor_name for r in found if r.n_distinct <= 64]  # an estimate that low can't hide a count near the gate
+    exact = {r.factor_name: r.k for r in panel.where(F.col("factor_name").isin(few)).groupBy("factor_name").agg(F.countDistinct(x).alias("k")).collect()} if few else {}
     out = {}
-    for r in whole.join(per_date, "factor_name").collect():
+    for r in found:
         ratio = r.zeros / r.valid if r.valid else float("nan")
-        out[r.factor_name] = Facts(r.factor_name, r.n_periods, r.n_assets, r.n_pairs, r.n_events, r.n_assets_sampled, ratio, r.k, r.n_distinct, r.magnitudes, r.magnitude_range is not None and r.magnitude_range < m.EPSILON)
+        out[r.factor_name] = Facts(r.factor_name, r.n_periods, r.n_assets, r.n_pairs, r.n_events, r.n_assets_sampled, ratio, r.k, exact.get(r.factor_name, r.n_distinct), r.magnitude_range is not None and r.magnitude_range < m.EPSILON)
     return out
 
 
