@@ -520,12 +520,6 @@ def metrics_summary(spark, sf_dir):
     return ev.metrics_summary(spark)
 
 
-@query()
-def slice_pairwise(spark, sf_dir):
-    panel = testdata.with_region(spark, sf_dir, _months(spark, sf_dir))
-    return spark.createDataFrame(slicing.slice_pairwise_test(panel, m.ic(), by="region", factor_col="factor"))
-
-
 @query()
 def slice_joint(spark, sf_dir):
     panel = testdata.with_region(spark, sf_dir, _months(spark, sf_dir))
@@ -549,13 +543,6 @@ def _spreads(spark, sf_dir) -> dict:
     return {k: v.drop(columns="factor_name") for k, v in s.groupby("factor_name")}
 
 
-@query()
-def spanning_alpha(spark, sf_dir):
-    s = _spreads(spark, sf_dir)
-    r = m.spanning_alpha(s["factor"], {"factor2": s["factor2"]})
-    return spark.createDataFrame([(r.value, r.stat, r.p_value, r.n_obs)], "alpha double, t_stat double, p_value double, n_obs long")
-
-
 @query()
 def greedy_forward_selection(spark, sf_dir):
     r = m.greedy_forward_selection(_spreads(spark, sf_dir), significance_threshold=0.5, suppress_snooping_warning=True)
