@@ -7,9 +7,10 @@ is one time axis, one set of assets or one signal's events.
 
 from __future__ import annotations
 
+import inspect
 import math
 import warnings
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, make_dataclass, replace
 from typing import ClassVar
 
 import numpy as np
@@ -24,7 +25,37 @@ from ..plans.errors import IncompatibleInferenceError
 from ..plans.results import MetricResult
 from . import producers as p
 
-NON_OVERLAPPING, NEWEY_WEST, HANSEN_HODRICK, STATIONARY_BOOTSTRAP = "non_overlapping", "newey_west", "hansen_hodrick", "stationary_bootstrap"
+@dataclass(frozen=True)
+class InferenceResult:
+    stat: float
+    p_value: float
+    metadata: dict
+    warnings: frozenset[str]
+
+
+class Inference(str):
+    """A way to test that a series has mean zero; equal to, and usable as, its name."""
+
+    @property
+    def test(self) -> str:
+        return "bootstrap-mean" if self == STATIONARY_BOOTSTRAP else "t"
+
+    @property
+    def summary(self) -> str:
+        return SUMMARY[self]
+
+    def min_input_periods(self, forward_periods: int) -> int:
+        """Length that a series needs before it is sampled or smoothed."""
+        return MIN_SERIES * max(forward_periods, 1) if self == NON_OVERLAPPING else st.MIN_PERIODS
+
+    def compute(self, series, *, value_col: str = "value", forward_periods: int = 5, seed: int | None = None) -> InferenceResult:
+        """Test one finished series (pandas, or a DataFrame of that size) in date order, nulls left out."""
+        s = series.toPandas() if isinstance(series, DataFrame) else series
+        stat, pv, meta, codes = infer(self, values(s, value_col), forward_periods, seed)
+        return InferenceResult(stat, pv, meta, frozenset(codes))
+
+
+NON_OVERLAPPING, NEWEY_WEST, HANSEN_HODRICK, STATIONARY_BOOTSTRAP = map(Inference, ("non_overlapping", "newey_west", "hansen_hodrick", "stationary_bootstrap"))
 SUMMARY = {NON_OVERLAPPING: "non-overlapping t-test", NEWEY_WEST: "Newey-West HAC t-test", HANSEN_HODRICK: "Hansen-Hodrick HAC t-test", STATIONARY_BOOTSTRAP: "stationary-bootstrap empirical p-test"}
 MIN_SERIES, MIN_EVENTS, WARN_EVENTS, MIN_PORTFOLIO, WARN_PORTFOLIO, MIN_MONOTONE, MIN_OOS = 10, 4, 30, 3, 20, 5, 5
 MIN_PAIRS, WARN_PAIRS, DROP_WARN, TIE_WARN, GROUP_ASSETS = 10, 30, 0.05, 0.3, 5
@@ -103,6 +134,36 @@ class Metric:
         return replace(self.summarise(s, Context(**(known | facts))), name=self.name)
 
 
+def metric(source, *, cell: tuple = (INDIVIDUAL, DENSE, PANEL), aggregation: str = "cs_then_ts", needs: tuple[str, ...] = (), threshold: Threshold | None = None, series_value: str | None = None):
+    """Make a metric of a function of (series, context, **parameters) and register it under the function's name.
+
+    ``source`` is a function of (panel, horizon) that plans the series, or a registered
+    metric whose series is taken over; that series is then planned once for both.
+    Keyword parameters with defaults become the metric's configuration.
+    """
+
+    def add(f):
+        if f.__name__ in REGISTRY:
+            raise ValueError(f"a metric named {f.__name__!r} exists")
+        taken = source() if isinstance(source, type) else None
+        options = [(k, v.default) for k, v in inspect.signature(f).parameters.items() if v.default is not v.empty]
+        body = {
+            "__doc__": f.__doc__,
+            "cell": cell,
+            "aggregation": aggregation,
+            "needs": needs,
+            "series_value": series_value,
+            "threshold": lambda self, h: threshold or Threshold(),
+            "source": lambda self, panel, h: taken.source(panel, h) if taken else source(panel, h),
+            "summarise": lambda self, s, c: f(s, c, **{k: getattr(self, k) for k, _ in options}),
+        }
+        if taken:
+            body["source_key"] = lambda self, h: taken.source_key(h)
+        return make_dataclass(f.__name__, [(k, type(v), field(default=v)) for k, v in options], bases=(Metric,), namespace=body, frozen=True)
+
+    return add
+
+
 def short(reason: str, *, n: int | None = None, axis: str | None = None, descriptive: bool = False, alternative: str = "two-sided", **extra) -> MetricResult:
     """A result that could not be had: not a number, p of 1 (none for descriptive metrics), and why."""
     return MetricResult(float("nan"), None if descriptive else 1.0, None if descriptive else alternative, n, axis, None, {"reason": reason, **extra})
@@ -118,6 +179,11 @@ def values(s: pd.DataFrame, column: str) -> np.ndarray:
     return s[column].dropna().to_numpy(float)
 
 
+def series_column(s: pd.DataFrame, wanted: str) -> str:
+    """The column to summarise: the one asked for, or ``ic`` where the default is not there."""
+    return "ic" if wanted == "value" and "value" not in s else wanted
+
+
 def drops(n_in: int, n_out: int, reason: str, axis: str = "periods") -> tuple[dict, list[str]]:
     lost = n_in - n_out
     rate = lost / n_in if n_in else 0.0
@@ -204,7 +270,7 @@ class ic(_FromIC):
     seed: int | None = None
 
     def threshold(self, h):
-        return Threshold(min_periods=MIN_SERIES * max(h, 1) if self.inference == NON_OVERLAPPING else st.MIN_PERIODS)
+        return Threshold(min_periods=Inference(self.inference).min_input_periods(h))
 
     def summarise(self, s, c):
         allowed("ic", self.inference, (NON_OVERLAPPING, NEWEY_WEST, STATIONARY_BOOTSTRAP))
@@ -240,8 +306,9 @@ class ic_ir(_FromIC):
 
 @dataclass(frozen=True)
 class positive_rate(_FromIC):
-    """Share of sampled dates with a positive rank correlation."""
+    """Share of sampled dates with a positive rank correlation, or value of any other series."""
 
+    value_col: str = "value"
     aggregation: ClassVar[str] = "ts_only"
     boundary_sensitive: ClassVar[bool] = True
 
@@ -252,7 +319,7 @@ class positive_rate(_FromIC):
         h = c.forward_periods
         if len(s) < MIN_SERIES * max(h, 1):
             return short("insufficient_positive_rate_samples", n=len(s), axis="periods", min_required=MIN_SERIES * max(h, 1))
-        own = s.sort_values("date")["ic"].to_numpy(float)[:: max(h, 1)]
+        own = s.sort_values("date")[series_column(s, self.value_col)].to_numpy(float)[:: max(h, 1)]
         x = own[~np.isnan(own)]
         n, hits = len(x), int((x > 0).sum())
         if n < MIN_SERIES:
@@ -266,8 +333,9 @@ class positive_rate(_FromIC):
 
 @dataclass(frozen=True)
 class ic_trend(_FromIC):
-    """Theil-Sen slope of the rank correlation over time."""
+    """Theil-Sen slope of the rank correlation, or any other series, over time."""
 
+    value_col: str = "value"
     adf_threshold: float | None = 0.1
     aggregation: ClassVar[str] = "ts_only"
     boundary_sensitive: ClassVar[bool] = True
@@ -278,7 +346,7 @@ class ic_trend(_FromIC):
     def summarise(self, s, c):
         if self.adf_threshold is not None and not 0.0 < self.adf_threshold < 1.0:
             raise ValueError("adf_threshold must be in (0, 1) or None")
-        x = values(s, "ic")
+        x = values(s, series_column(s, self.value_col))
         x = x[np.isfinite(x)]
         n = len(x)
         if n < 10:
@@ -298,6 +366,7 @@ class ic_trend(_FromIC):
 class oos_decay(_FromIC):
     """Mean of the later part of the series over that of the earlier part, vetoed on a change of sign."""
 
+    value_col: str = "value"
     is_ratio: float = 0.7
     survival_threshold: float = 0.5
     aggregation: ClassVar[str] = "ts_only"
@@ -307,7 +376,7 @@ class oos_decay(_FromIC):
         return Threshold(min_periods=2 * MIN_OOS)
 
     def summarise(self, s, c):
-        x = values(s, "ic")
+        x = values(s, series_column(s, self.value_col))
         n = len(x)
         echo = {"is_ratio": self.is_ratio, "survival_threshold": self.survival_threshold}
         if n < 2 * MIN_OOS:

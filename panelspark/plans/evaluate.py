@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 
 from ..functions.panel import dates, long_panel
 from ..operators import metrics as m
+from ..operators import producers as p
 from ..operators.metrics import COMMON, DENSE, INDIVIDUAL, PANEL, REGISTRY, SPARSE, TIMESERIES, Context, Metric
 from ..operators.preprocess import HORIZON, compute_forward_return
 from .errors import IncompatibleAxisError, InsufficientSampleError, UserInputError
 from .results import EvaluationResult, MetricResult, Warning, number
 
-SPARSE_RATIO, LOW_CARDINALITY = 0.5, 5
+SPARSE_RATIO, LOW_CARDINALITY, WARN_DATE_ASSETS = 0.5, 5, 10
 _SUMMARY = "factor_name string, label string, payload string"
 
 
@@ -40,6 +41,8 @@ class Facts:
     max_distinct_per_date: int
     n_distinct: int
     constant_magnitude: bool
+    ic_dates: tuple[int, int, int] = (0, 0, 0)  # dates with a rank correlation, their fewest pairs, the most pairs of any date
+    fm_dates: tuple[int, int, int] = (0, 0, 0)  # the same for a per-date slope
 
     @property
     def cell(self) -> tuple[str, str, str]:
@@ -51,7 +54,11 @@ def facts(panel: DataFrame, h: int) -> dict[str, Facts]:
     """Facts of every signal of a long panel, in one collected row per signal."""
     sampled = panel.join(F.broadcast(dates(panel).withColumn("sampled", F.col("date_ordinal") % max(h, 1) == 0).drop("date_ordinal")), "date")
     x, ret = F.col("factor"), F.col("forward_return") if "forward_return" in panel.columns else F.lit(0.0)
-    per_date = sampled.groupBy("factor_name", "date").agg((F.countDistinct(x) + F.max(F.when(x.isNull(), 1).otherwise(0))).alias("k")).groupBy("factor_name").agg(F.max("k").alias("k"), F.count("*").alias("n_periods"))
+    pair = x.isNotNull() & ret.isNotNull()
+    dated = sampled.groupBy("factor_name", "date").agg((F.countDistinct(x) + F.max(F.when(x.isNull(), 1).otherwise(0))).alias("k"), F.count(F.when(pair, 1)).alias("pairs"), F.var_samp(F.when(pair, x)).alias("v"))
+    ranked, sloped = F.col("pairs") >= p.MIN_IC_ASSETS, (F.col("pairs") >= p.MIN_FM_ASSETS) & (F.col("v") > 0)
+    stage = lambda c, name: F.struct(F.count(F.when(c, 1)), F.coalesce(F.min(F.when(c, F.col("pairs"))), F.lit(0)), F.max("pairs")).alias(name)
+    per_date = dated.groupBy("factor_name").agg(F.max("k").alias("k"), F.count("*").alias("n_periods"), stage(ranked, "ic_dates"), stage(sloped, "fm_dates"))
     whole = sampled.groupBy("factor_name").agg(
         F.countDistinct("asset_id").alias("n_assets"),
         F.countDistinct(F.when(F.col("sampled"), F.col("asset_id"))).alias("n_assets_sampled"),
@@ -68,7 +75,7 @@ def facts(panel: DataFrame, h: int) -> dict[str, Facts]:
     out = {}
     for r in found:
         ratio = r.zeros / r.valid if r.valid else float("nan")
-        out[r.factor_name] = Facts(r.factor_name, r.n_periods, r.n_assets, r.n_pairs, r.n_events, r.n_assets_sampled, ratio, r.k, exact.get(r.factor_name, r.n_distinct), r.magnitude_range is not None and r.magnitude_range < m.EPSILON)
+        out[r.factor_name] = Facts(r.factor_name, r.n_periods, r.n_assets, r.n_pairs, r.n_events, r.n_assets_sampled, ratio, r.k, exact.get(r.factor_name, r.n_distinct), r.magnitude_range is not None and r.magnitude_range < m.EPSILON, tuple(r.ic_dates), tuple(r.fm_dates))
     return out
 
 
@@ -208,6 +215,9 @@ def evaluate(data: DataFrame, *, metrics: dict[str, Metric], factor_cols: list[s
         for k, r in own.items():
             if strict and r.value != r.value and r.reason and not r.reason.startswith("not_applicable"):
                 raise InsufficientSampleError(f"{k} on {f}: {r.reason} {({x: v for x, v in r.metadata.items() if x != 'reason'})}")
+            if r.value != r.value and r.reason:
+                code = "upstream_unavailable" if r.reason == "upstream_unavailable" else "metric_unavailable"
+                notes[f].append(Warning(code, k, r.reason, code in expected_warnings))
             notes[f] += [Warning(code, k, "", code in expected_warnings) for code in r.warning_codes]
         k = known[f]
         results.append(EvaluationResult(f, k.cell, h, k.n_periods, k.n_pairs, k.n_assets, own, plan_text(metrics, h), warnings=notes[f]))
@@ -279,7 +289,17 @@ def judge(metric: Metric, k: Facts, h: int, columns) -> Verdict:
     if metric.continuous_magnitude and k.constant_magnitude:
         blockers.append("not_applicable_discrete_signal")
     limit = metric.threshold(h)
-    for axis, have in (("periods", k.n_periods), ("assets", k.n_assets), ("pairs", k.n_pairs), ("events", k.n_events)):
+    n_periods = k.n_periods
+    first_stage = {"compute_ic": (k.ic_dates, p.MIN_IC_ASSETS), "compute_fm_betas": (k.fm_dates, p.MIN_FM_ASSETS)}.get(metric.producer)
+    if first_stage and "forward_return" in columns:
+        (n_periods, fewest, most), floor = first_stage
+        if most < floor:
+            blockers.append(f"n_assets_per_period_max={most} below {floor}")
+        elif not n_periods:
+            blockers.append("no date on which the signal varies")
+        elif fewest < WARN_DATE_ASSETS:
+            cautions.append(f"n_assets_per_period_min={fewest} below {WARN_DATE_ASSETS}")
+    for axis, have in (("periods", n_periods), ("assets", k.n_assets), ("pairs", k.n_pairs), ("events", k.n_events)):
         floor, warn = getattr(limit, f"min_{axis}", None), getattr(limit, f"warn_{axis}", None)
         if floor is not None and have < floor:
             blockers.append(f"n_{axis}={have} below {floor}")

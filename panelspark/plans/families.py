@@ -1,7 +1,7 @@
 """Multiple testing over families of results, as window queries on a results table.
 
-A results table has the columns factor, metric, forward_periods, p_value, reason and
-any condition columns.  Ranks, running extremes and family sizes are windows, so a
+A results table has the columns factor, metric, forward_periods, p_value and reason; any
+further column is a parameter or condition and part of a hypothesis' identity.  Ranks, running extremes and family sizes are windows, so a
 family may be as large as the cluster can sort.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.errors import UserInputError
 
 IDENTITY = ("factor", "forward_periods")
+MEASURED = ("metric", "value", "p_value", "reason")
 RESULT_SCHEMA = "factor string, metric string, forward_periods int, value double, p_value double, reason string"
 
 
@@ -35,6 +36,11 @@ def _checked(table: DataFrame, metrics: list[str], keys: list[str], func: str, q
     return own
 
 
+def identity(table: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Columns that tell hypotheses apart: signal, horizon and every parameter, less those that replicate them."""
+    return [c for c in (*IDENTITY, *(x for x in table.columns if x not in (*IDENTITY, *MEASURED))) if c not in exclude]
+
+
 def harmonic(m: Column) -> Column:
     """1 + 1/2 + ... + 1/m: exact below 1000, beyond by its expansion (error under 1e-15)."""
     exact = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(m, F.lit(1000)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, k: s + 1.0 / k)
@@ -62,7 +68,7 @@ def _active(p: str = "p_value") -> Column:
 
 def bhy(table: DataFrame, *, metrics: list[str], expand_over: tuple[str, ...] = (), q: float = 0.05) -> DataFrame:
     """BHY per metric and bucket of ``expand_over``; rows short of a sample are not hypotheses."""
-    own = _checked(table, metrics, [*IDENTITY, *(c for c in expand_over if c not in IDENTITY)], "bhy", q).withColumn("_p", _active())
+    own = _checked(table, metrics, identity(table), "bhy", q).withColumn("_p", _active())
     return adjust(own, "_p", ["metric", *expand_over]).drop("_p").withColumn("survived", F.coalesce(F.col("adj_p") <= q, F.lit(False)))
 
 
@@ -70,22 +76,22 @@ def bhy_across_metrics(table: DataFrame, *, metrics: list[str], expand_over: tup
     """BHY over all pairs of signal and metric together."""
     if len(metrics) < 2:
         raise UserInputError("bhy_across_metrics", "metrics", metrics, "at least two labels")
-    own = _checked(table, metrics, [*IDENTITY, *(c for c in expand_over if c not in IDENTITY)], "bhy_across_metrics", q).withColumn("_p", _active())
+    own = _checked(table, metrics, identity(table), "bhy_across_metrics", q).withColumn("_p", _active())
     return adjust(own, "_p", list(expand_over) or [F.lit(1)]).drop("_p").withColumn("survived", F.coalesce(F.col("adj_p") <= q, F.lit(False)))
 
 
-def _conjunction(rows: DataFrame, keys: list[str], p: str, min_pass: int) -> DataFrame:
-    """(m - k + 1) times the k-th smallest p of each group."""
+def _conjunction(rows: DataFrame, keys: list[str], p: str, min_pass: int, *more: Column) -> DataFrame:
+    """(m - k + 1) times the k-th smallest p of each group, and ``more`` aggregates of it."""
     ordered = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(p))))
-    return ordered.groupBy(*keys).agg(F.count(p).alias("n_conditions"), F.max(F.when(F.col("_k") == min_pass, F.col(p))).alias("_kth")).withColumn("pc_p", F.least((F.col("n_conditions") - min_pass + 1) * F.col("_kth"), F.lit(1.0))).drop("_kth")
+    return ordered.groupBy(*keys).agg(F.count(p).alias("n_conditions"), F.max(F.when(F.col("_k") == min_pass, F.col(p))).alias("_kth"), *more).withColumn("pc_p", F.least((F.col("n_conditions") - min_pass + 1) * F.col("_kth"), F.lit(1.0))).drop("_kth")
 
 
 def partial_conjunction(table: DataFrame, *, metrics: list[str], min_pass: int, expand_over: tuple[str, ...], n_conditions: int | None = None, q: float = 0.05) -> DataFrame:
     """Signals that hold under at least ``min_pass`` conditions, BHY over signals per metric."""
     if not expand_over:
         raise UserInputError("partial_conjunction", "expand_over", expand_over, "the condition columns")
-    own = _checked(table, metrics, [*IDENTITY, *(c for c in expand_over if c not in IDENTITY)], "partial_conjunction", q)
-    keys = ["metric", *(c for c in IDENTITY if c not in expand_over)]
+    own = _checked(table, metrics, identity(table), "partial_conjunction", q)
+    keys = ["metric", *identity(table, expand_over)]
     each = _conjunction(own, keys, "p_value", min_pass)
     bound = n_conditions if n_conditions is not None else 0
     low = each.where((F.col("n_conditions") < min_pass) | (F.lit(bound) > 0) & (F.col("n_conditions") != bound)).limit(1).collect()
@@ -96,11 +102,12 @@ def partial_conjunction(table: DataFrame, *, metrics: list[str], min_pass: int,
 
 def partial_conjunction_across_metrics(table: DataFrame, *, metrics: list[str], min_pass: int, q: float = 0.05) -> DataFrame:
     """Signals that pass at least ``min_pass`` metrics; a metric short of a sample counts as p = 1, a signal with too few others has none."""
-    own = _checked(table, metrics, list(IDENTITY), "partial_conjunction_across_metrics", q)
+    keys = identity(table)
+    own = _checked(table, metrics, keys, "partial_conjunction_across_metrics", q)
     if not 1 <= min_pass <= len(metrics):
         raise UserInputError("partial_conjunction_across_metrics", "min_pass", min_pass, f"1..{len(metrics)}")
     own = own.withColumn("_a", _active()).withColumn("_p", F.coalesce("_a", F.lit(1.0)))
-    each = _conjunction(own, list(IDENTITY), "_p", min_pass).join(own.groupBy(*IDENTITY).agg(F.count("_a").alias("n_active")), list(IDENTITY))
+    each = _conjunction(own, keys, "_p", min_pass, F.count("_a").alias("n_active"))
     each = each.withColumn("pc_p", F.when(F.col("n_active") >= min_pass, F.col("pc_p")))
     return adjust(each, "pc_p", [F.lit(1)]).withColumn("survived", F.coalesce(F.col("adj_p") <= q, F.lit(False)))
 
@@ -114,7 +121,7 @@ def simes(rows: DataFrame, keys: list[str], p: str = "p_value") -> DataFrame:
 
 def bhy_hierarchical(table: DataFrame, *, metrics: list[str], group: str, q: float = 0.05) -> DataFrame:
     """The larger of BHY over groups' Simes p and BHY within the group."""
-    own = _checked(table, metrics, [*IDENTITY, *([group] if group not in IDENTITY else [])], "bhy_hierarchical", q)
+    own = _checked(table, metrics, identity(table), "bhy_hierarchical", q)
     outer = adjust(simes(own, ["metric", group]), "simes_p", ["metric"]).withColumnRenamed("adj_p", "outer_p").drop("simes_p")
     inner = adjust(own, "p_value", ["metric", group]).withColumnRenamed("adj_p", "inner_p")
     return inner.join(outer, ["metric", group]).withColumn("adj_p", F.greatest("inner_p", "outer_p")).withColumn("survived", F.col("adj_p") <= q)

@@ -411,7 +411,7 @@ def simes_by_bucket(spark, sf_dir):
 
 @query(f"WITH {_FAMILY}, c AS (SELECT CAST(CAST(factor AS BIGINT) % 3 AS VARCHAR) AS f, p_value FROM fam), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p_value) AS k, count(*) OVER (PARTITION BY f) AS n FROM c) SELECT f AS factor, any_value(n) AS n_conditions, round(least(1.0::DOUBLE, max((n - 2 + 1) * p_value) FILTER (k = 2)), 9) AS pc_p FROM r GROUP BY f")
 def partial_conjunction_p(spark, sf_dir):
-    rows = _family(spark, sf_dir).withColumn("condition", F.col("factor")).withColumn("factor", (F.col("factor").cast("long") % 3).cast("string"))
+    rows = _family(spark, sf_dir).drop("bucket").withColumn("condition", F.col("factor")).withColumn("factor", (F.col("factor").cast("long") % 3).cast("string"))
     return families.partial_conjunction(rows, metrics=["m"], min_pass=2, expand_over=("condition",)).select("factor", "n_conditions", "pc_p")
 
 

@@ -6,6 +6,7 @@ name and the slice's label form the key together.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +46,27 @@ def by_slice(data: DataFrame, metric: Metric, *, by: str, factor_col: str, forwa
     return out
 
 
+def strict_subsets(slices: dict[str, DataFrame], key_cols: tuple[str, ...] = ("date", "asset_id")) -> list[tuple[str, str]]:
+    """Pairs (smaller, larger) of slices of which one's keys are a true subset of the other's.
+
+    Keys are grouped with the labels that hold them, so what is counted and collected is
+    pairs of labels, not keys.
+    """
+    for label, data in slices.items():
+        lost = [c for c in key_cols if c not in data.columns]
+        if lost:
+            raise ValueError(f"slice {label!r} lacks the key columns {lost}; it has {data.columns}")
+    if len(slices) < 2:
+        return []
+    rows = reduce(DataFrame.unionByName, (data.select(*key_cols, F.lit(label).alias("_label")) for label, data in slices.items()))
+    held = rows.groupBy(*key_cols).agg(F.collect_set("_label").alias("a")).groupBy("a").count()
+    both = held.select("a", F.explode("a").alias("x"), "count").select("x", F.explode("a").alias("y"), "count").groupBy("x", "y").agg(F.sum("count").alias("n"))
+    common = {(r.x, r.y): r.n for r in both.collect()}
+    size = {k: common.get((k, k), 0) for k in slices}
+    nested = lambda a, b: size[a] < size[b] and common.get((a, b), 0) == size[a]
+    return [(a, b) if nested(a, b) else (b, a) for a, b in combinations(slices, 2) if nested(a, b) or nested(b, a)]
+
+
 def _series(data: DataFrame, metric: Metric, by: str, factor_col: str, func: str) -> tuple[list[str], dict[str, pd.Series], int | None]:
     """Per-date series of every slice (collected: dates x slices rows), and the horizon."""
     if isinstance(metric, type) or not isinstance(metric, Metric):
