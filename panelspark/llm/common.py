@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import sys
 import types
@@ -105,6 +106,27 @@ def slices(sizes: list[int], most: int):
 def forget_worker_state() -> None:
     """Free what earlier operators' tasks left in this worker process."""
     sys.modules.pop("_panelspark_worker_state", None)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live on between stages, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a task over batches, that keeps no freed memory of its own or of the tasks before it."""
+
+    def task(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def worker_state(key: str, make: Callable):

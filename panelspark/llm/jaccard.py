@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, discard, forget_worker_state, load, scratch, slices, text_batches, tidy
+from .common import as_bytes, discard, forget_worker_state, lean, load, scratch, slices, text_batches, tidy
 from .components import components
 from .fingerprint import _tables
 from .words import mixed
@@ -250,14 +250,14 @@ def _overlap(batches):
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b, na, nb) whose cells leave room for enough overlap."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("cells").alias(f"cells_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, b long, na long, nb long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(_possible), "a long, b long, na long, nb long")
 
 
 def _links(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b, na, nb) that link: fragments' overlaps are counted separately and summed."""
     left = pairs.join(parts.select(F.col("cls").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
     both = left.join(parts.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", "part_a", "part_b").mapInArrow(_overlap, "a long, b long, na long, nb long, common long")
+    partial = both.select("a", "b", "na", "nb", "part_a", "part_b").mapInArrow(lean(_overlap), "a long, b long, na long, nb long, common long")
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return total.where((LINK_A + LINK_B) * F.col("common") >= LINK_B * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -275,7 +275,7 @@ def _filter_words(members: DataFrame) -> np.ndarray:
 
 def _lists(docs: DataFrame, frequent, shingle: int) -> DataFrame:
     """(shingle, cls, n, pos): the prefix shingles that at least two classes share."""
-    found = docs.select("text").mapInArrow(_index(docs.sparkSession.sparkContext.broadcast(frequent), shingle), "shingle long, cls long, pos int, n int")
+    found = docs.select("text").mapInArrow(lean(_index(docs.sparkSession.sparkContext.broadcast(frequent), shingle)), "shingle long, cls long, pos int, n int")
     rare = found.where(F.col("shingle") < _LAST).repartition("shingle")
     shared = rare.selectExpr("*", "min(cls) over (partition by shingle) as low", "max(cls) over (partition by shingle) as high").where("low <> high").select("shingle", "cls", "pos", "n")
     return shared.union(found.where(F.col("shingle") >= _LAST)).distinct().select("shingle", "cls", F.col("n").cast("long").alias("n"), "pos")
@@ -355,7 +355,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bits = "".join(f", {b} long" for b in BITS)
-    first = scratch(docs.mapInArrow(_classify(shingle), f"doc_id long, cls long, n long, cells binary{bits}, shingle long, times long"), "jaccard-classes")
+    first = scratch(docs.mapInArrow(lean(_classify(shingle)), f"doc_id long, cls long, n long, cells binary{bits}, shingle long, times long"), "jaccard-classes")
     rows = first.where("n is not null")
     frequent = _frequent(first.where("shingle is not null"))
     classes = scratch(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "cells", *BITS))), "jaccard-sizes")
@@ -381,7 +381,7 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         needed = scratch(needed if fetched is None else needed.join(fetched, "cls", "left_anti"), "jaccard-needed")
         if not needed.isEmpty():
-            own = docs.select("text").mapInArrow(_sets_of(spark.sparkContext.broadcast((frequent, _filter_words(needed))), shingle), "cls long, fragment int, part binary")
+            own = docs.select("text").mapInArrow(lean(_sets_of(spark.sparkContext.broadcast((frequent, _filter_words(needed))), shingle)), "cls long, fragment int, part binary")
             own = scratch(own.join(needed, "cls", "left_semi").dropDuplicates(["cls", "fragment"]), "jaccard-sets")
             parts = own if parts is None else parts.union(own)
             fetched = needed if fetched is None else fetched.union(needed)

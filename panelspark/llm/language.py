@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, slices, text_batches
+from .common import lean, load, slices, text_batches
 from .words import gram_buckets, joined
 
 BITS, ORDERS = 16, (1, 2, 3, 4)
@@ -243,7 +243,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         return langs, counts, scripts
     limit = F.from_json(F.lit(json.dumps(share)), "map<string,double>")
     sample = rows.where(F.pmod("key", F.lit(1_000_000)) < limit[F.col("lang")] * 1_000_000)
-    found = sample.select("lang", "text").mapInArrow(_count, "lang string, kind int, at int, n double").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.select("lang", "text").mapInArrow(lean(_count), "lang string, kind int, at int, n double").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
     row = {x: i for i, x in enumerate(langs)}
     at_lang = np.array([row[x] for x in found.column("lang").to_pylist()], np.int64)
     kind, at, n = (found.column(c).to_numpy() for c in ("kind", "at", "n"))
@@ -278,7 +278,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = f"{schema}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
-    return text_batches(docs).select(*keep, F.col(text_col).cast("string").alias("text_to_label")).mapInArrow(_identify(shared, penalty), out)
+    return text_batches(docs).select(*keep, F.col(text_col).cast("string").alias("text_to_label")).mapInArrow(lean(_identify(shared, penalty)), out)
 
 
 def remainder(id_col: str, of: int) -> Column:
