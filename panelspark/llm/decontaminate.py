@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, load, scratch, text_batches
+from .common import as_bytes, lean, load, scratch, text_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -138,7 +138,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in own.collect()])
-        parts.append(docs.mapInArrow(_search(shared, window, k > 0), schema))
+        parts.append(docs.mapInArrow(lean(_search(shared, window, k > 0)), schema))
     if blocks == 1:
         return parts[0].drop("key")
     every = parts[0]

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, row_keys, slices, text_batches, worker_state
+from .common import lean, load, row_keys, slices, text_batches, worker_state
 
 WINDOW, END_ID, GROUP_DOCS = 2048, 1, 8192
 #: Pre-tokens that a generation of a worker's cache holds before the next one begins (some 200 bytes each), the
 #: longest that is kept, and characters cut at a time.
 CACHED, CACHED_CHARS, CHUNK_CHARS = 200_000, 48, 2_000_000
+#: Pre-tokens that the tokenizer is given at a time: its own form of an encoding is large.
+ENCODED = 2_000
 
 # The vocabulary's pre-tokenizer pattern for Latin-1 texts, classes written out.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\xa0"
@@ -79,7 +81,9 @@ class Encoder:
             missing = set().union(*parts).difference(known)
             known.update((x, old[x]) for x in missing if x in old)
             new = list(missing.difference(known))
-            known.update((x, _packed(e)) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+            for at in range(0, len(new), ENCODED):
+                own = new[at : at + ENCODED]
+                known.update((x, _packed(e)) for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True))
             for text, own, w in zip(texts[lo:hi], parts, whole, strict=True):
                 out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False)) if w else b"".join(map(known.__getitem__, own)))
             for x in new:
@@ -182,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     """
     groups = max(1, -(-docs.count() // group_docs))
     schema = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer_path, window, end_id, keep_ids), schema)
+    pieces = text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(_pieces(tokenizer_path, window, end_id, keep_ids)), schema)
     if not keep_ids:
         pieces = pieces.drop("ids")
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups)))
