@@ -23,7 +23,7 @@ from .common import lean, load, row_keys, slices, text_batches, worker_state
 WINDOW, END_ID, GROUP_DOCS = 2048, 1, 8192
 #: Pre-tokens that a generation of a worker's cache holds before the next one begins (some 200 bytes each), the
 #: longest that is kept, and characters cut at a time.
-CACHED, CACHED_CHARS, CHUNK_CHARS = 200_000, 48, 2_000_000
+CACHED, CACHED_CHARS, CHUNK_CHARS = 200_000, 48, 500_000
 #: Pre-tokens that the tokenizer is given at a time: its own form of an encoding is large.
 ENCODED = 2_000
 
