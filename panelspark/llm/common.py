@@ -103,9 +103,11 @@ def slices(sizes: list[int], most: int):
         yield lo, len(sizes)
 
 
-def forget_worker_state() -> None:
-    """Free what earlier operators' tasks left in this worker process."""
-    sys.modules.pop("_panelspark_worker_state", None)
+def forget_worker_state(but: str | None = None) -> None:
+    """Free what earlier operators' tasks left in this worker process, ``but`` one key of ``worker_state``."""
+    own = sys.modules.get("_panelspark_worker_state")
+    for key in [k for k in vars(own) if not k.startswith("__") and k != but] if own else []:
+        delattr(own, key)
     give_back()
 
 
@@ -118,11 +120,11 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """``run``, a task over batches, that keeps no freed memory of its own or of the tasks before it."""
+def lean(run: Callable, keeps: str | None = None) -> Callable:
+    """``run``, a task over batches, that keeps nothing of the tasks before it but the ``worker_state`` it names, and no freed memory of its own."""
 
     def task(batches):
-        give_back()
+        forget_worker_state(keeps)
         yield from run(batches)
         give_back()
 

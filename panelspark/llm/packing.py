@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     """
     groups = max(1, -(-docs.count() // group_docs))
     schema = "key long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    pieces = text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(_pieces(tokenizer_path, window, end_id, keep_ids)), schema)
+    pieces = text_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(_pieces(tokenizer_path, window, end_id, keep_ids), f"encoder {tokenizer_path}"), schema)
     if not keep_ids:
         pieces = pieces.drop("ids")
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups)))

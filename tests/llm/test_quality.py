@@ -147,3 +147,28 @@ def test_a_rare_language_has_its_own_threshold(spark):
     got = classify(rare, labels, train_rows=400).join(labels, "doc_id").where("lang = 'es' and quality = 1 and toxic = 0").collect()
     # some 10 Spanish rows in a sample of 400, if languages aren't told apart
     assert len(got) > 60 and np.mean([r.keep for r in got]) > 0.95
+
+
+def test_every_trusted_row_trains_or_gives_thresholds(spark, monkeypatch):
+    n = 20_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word', id % 50, ' of ', id % 7) as text", "if(id % 2 = 0, 'en', 'fr') as lang")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    seen, limits = [], []
+    given, measured = quality.train, quality._limits
+    monkeypatch.setattr(quality, "train", lambda texts, *a, **k: seen.append(texts.count()) or given(texts.limit(50), *a, **k))
+    monkeypatch.setattr(quality, "_limits", lambda rows, *a: limits.append(rows.count()) or measured(rows, *a))
+    assert classify(docs, labels).count() == n
+    assert seen[0] + limits[0] == n and abs(seen[0] - 0.75 * n) < 300
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    values = {"en": rng.normal(size=60_000), "fr": np.round(rng.normal(size=3_000), 1), "de": rng.normal(size=40), "es": rng.normal(size=29)}
+    rows = spark.createDataFrame([(k, float(v)) for k, own in values.items() for v in own], "lang string, v double").repartition(16)
+    every = np.concatenate([own for own in values.values()])
+    exact = lambda own, q: np.sort(own)[max(1, math.ceil(q * len(own) - 1e-9)) - 1]
+    for q in (0.5, 0.99):
+        got, each = quality._quantiles(rows, rows["v"], q)
+        assert got == exact(every, q)
+        assert each == {k: exact(own, q) for k, own in values.items() if len(own) >= 30}
+    assert quality._quantiles(rows.limit(0), rows["v"], 0.5) == (None, {})
