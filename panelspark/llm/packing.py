@@ -14,6 +14,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,15 +28,16 @@ CACHED, CACHED_CHARS, CHUNK_CHARS = 200_000, 48, 500_000
 #: Pre-tokens that the tokenizer is given at a time: its own form of an encoding is large.
 ENCODED = 2_000
 
-# The vocabulary's pre-tokenizer pattern for Latin-1 texts, classes written out.
+# The vocabulary's pre-tokenizer pattern for Latin-1 texts, classes written out; words and numbers,
+# which don't begin like the rest, first.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\xa0"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_PIECES = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 _UNSURE = re.compile("[\x1c-\x1f\x85]").search
 _INNER = re.compile(r"(?<=\S) (?=\S)").split
+_WORD = re.compile(r" ?\S+").fullmatch
 
 
-def _packed(encoding) -> bytes:
-    ids = encoding.ids
+def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -45,7 +47,8 @@ class Encoder:
     A text beyond Latin-1, where classes of characters depend on a Unicode version, is
     only cut at spaces between two characters that aren't white space; the
     tokenizer always cuts there too.  A text that holds the literal of a special token
-    goes to the tokenizer as it is, which gives that token's id.  The cache is of two
+    goes to the tokenizer as it is, which gives that token's id.  New pre-tokens without white space
+    but one space before the rest go to it as lines of one text: it always cuts around their ends.  The cache is of two
     generations: what the older one alone knows is forgotten when the newer is full.
     """
 
@@ -55,6 +58,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -69,6 +73,17 @@ class Encoder:
         first, *rest = _INNER(text)
         return [first, *(" " + x for x in rest)]
 
+    def _encoded(self, units: list[str]) -> list[bytes]:
+        """Each pre-token's ids."""
+        if len(self.line_end) == 1 and all(map(_WORD, units)):
+            data = np.array(self.tokenizer.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(data == self.line_end[0])).tolist()
+            raw = data.tobytes()
+            return [raw[i:j] for i, j in zip([0, *(i + 4 for i in ends)], [*ends, len(raw)], strict=True)]
+        words = list(filter(_WORD, units)) if len(self.line_end) == 1 else []
+        known = dict(zip(words, self._encoded(words), strict=True)) if words else {}
+        return [known[x] if x in known else _packed(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in units]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = []
@@ -79,13 +94,14 @@ class Encoder:
                 self.old, self.known = self.known, {}
             known, old = self.known, self.old
             missing = set().union(*parts).difference(known)
-            known.update((x, old[x]) for x in missing if x in old)
-            new = list(missing.difference(known))
+            again = [x for x in missing if x in old]
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            new = list(missing.difference(again))
             for at in range(0, len(new), ENCODED):
                 own = new[at : at + ENCODED]
-                known.update((x, _packed(e)) for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True))
+                known.update(zip(own, self._encoded(own), strict=True))
             for text, own, w in zip(texts[lo:hi], parts, whole, strict=True):
-                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False)) if w else b"".join(map(known.__getitem__, own)))
+                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if w else b"".join(map(known.__getitem__, own)))
             for x in new:
                 if len(x) > CACHED_CHARS:
                     del known[x]

@@ -119,3 +119,27 @@ def test_little_padding(small):
 def test_odd_rows(odd_docs, no_docs):
     check(pack(odd_docs, PATH, window=64, group_docs=3).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()], 64)
     assert pack(no_docs, PATH).collect() == []
+
+
+def test_new_units_go_to_the_tokenizer_together():
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode(self, text, **k):
+            self.texts += 1
+            return self.inner.encode(text, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **k)
+
+    encoder = Encoder(PATH)
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    words = [f"w{i}ord" for i in range(1500)]
+    assert np.frombuffer(encoder.ids([" ".join(words)])[0], "<u4").tolist() == reference(" ".join(words))
+    assert encoder.tokenizer.texts < 10
+    rng = random.Random(3)
+    marks = [" ", "\n", "\t", "\xa0", "a", "B", "1", "'s", ".", "é", "中", "　", "\x1c", "\r", "  ", "\n\n", "word", "᠎", "​", "﻿", "\x85"]
+    odd = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(odd)] == [reference(t) for t in odd]
